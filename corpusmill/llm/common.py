@@ -62,7 +62,7 @@ def per_text(
 
     source = df.select(
         F.col(f"`{key}`"),
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"),
+        F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"),
     )
     return source.mapInArrow(run, f"`{key}` {kind}, {schema}")
 

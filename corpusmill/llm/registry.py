@@ -1,7 +1,7 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import bpe
+from . import bpe, licenses, media, secrets
 
-MODULES = (bpe,)
+MODULES = (bpe, licenses, media, secrets)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
