@@ -1,7 +1,7 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import bpe, licenses, media, secrets, simhash
+from . import bpe, decontaminate, licenses, media, secrets, simhash, toxicity
 
-MODULES = (bpe, licenses, media, secrets, simhash)
+MODULES = (bpe, decontaminate, licenses, media, secrets, simhash, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
