@@ -60,6 +60,11 @@ LABELLED = [
     (14, 0.6, 1, 0, 50, 0.0, 70, 0.1, 1), (5, 0.0, 1, 1, 50, 0.0, 70, 0.1, 1), (1, 0.0, 1, 0, 9, 0.0, 1, 0.0, 1),
     (300, 0.0, 1, 0, 10, 0.0, 5, 0.0, 1), (4, 0.0, 1, 0, 0, 0.0, 0, 0.0, 1), (1, 1.0, 1, 0, 45, 0.0, 22, 0.0, 1),
     (12, 0.0, 1, 0, 30, 0.1, 14, 0.0, 1), (33, 0.0, 1, 0, 6, 1.0, 41, 0.0, 1), (19, 0.1, 1, 0, 28, 0.0, 12, 1.0, 1),
+    (2, 0.0, 1, 0, 2, 1.0, 4, 1.0, 1), (3, 0.0, 1, 0, 4, 0.0, 4, 0.0, 1), (7, 0.0, 1, 0, 5, 0.0, 0, 0.0, 1),
+    (1, 0.0, 1, 0, 3, 0.0, 4, 0.0, 1), (10, 0.0, 1, 0, 3, 1.0, 9, 1.0, 1), (9, 0.0, 1, 0, 20, 0.0, 8, 1.0, 1),
+    (4, 0.0, 1, 1, 3, 1.0, 3, 1.0, 1), (6, 0.9, 1, 0, 60, 0.0, 4, 1.0, 1), (15, 0.8, 1, 0, 12, 0.9, 8, 1.0, 1),
+    (6, 0.0, 1, 0, 3, 0.0, 4, 0.0, 1), (2, 1.0, 1, 0, 0, 0.0, 2, 1.0, 1), (20, 0.0, 1, 1, 3, 0.0, 12, 0.0, 1),
+    (9, 0.0, 1, 0, 4, 1.0, 6, 0.0, 1), (3, 1.0, 1, 0, 2, 1.0, 3, 1.0, 1), (11, 0.0, 1, 1, 3, 0.0, 4, 0.0, 1),
     (60, 0.0, 0, 0, 8, 0.0, 70, 0.0, 1), (90, 0.1, 0, 0, 60, 0.0, 45, 0.0, 1), (35, 0.05, 0, 0, 90, 0.0, 20, 0.0, 1),
     (8, 0.0, 0, 1, 4, 1.0, 60, 0.0, 1), (12, 0.0, 0, 0, 60, 0.0, 80, 0.0, 1), (5, 0.0, 0, 0, 70, 0.0, 55, 0.1, 1),
     (22, 0.0, 0, 0, 35, 0.1, 50, 0.0, 1), (150, 0.0, 0, 0, 6, 0.0, 0, 0.0, 1), (28, 0.2, 0, 0, 44, 0.0, 38, 0.1, 1),
