@@ -303,24 +303,34 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
     return per_text(df, work, "ids array<bigint>", key, text)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode every whole text, decode the ids again and return digests of both.
+def tokenized(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Encode every whole text and decode the ids again: (key, ids, n_tokens, ids_sha256, decoded_sha256).
 
     Null and empty texts give no ids and the digests of nothing. Repeated rows
     give equal rows; a null key stays null. An id sequence that isn't UTF-8 as a
     whole raises, which a text's own encoding never is.
     """
+    return _round_trip(df, path, pattern, text, key, True)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As `tokenized`, without the ids."""
+    return _round_trip(df, path, pattern, text, key, False)
+
 
+def _round_trip(df: DataFrame, path: str, pattern: str, text: str, key: str, with_ids: bool) -> DataFrame:
     def work(texts: list[bytes]) -> list[tuple]:
         own = codec(path, pattern)
         rows = []
         for data in texts:
             ids = own.encode(data.decode())
             back = own.decoder.decode(ids)
-            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
+            digests = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest())
+            rows.append((ids.astype("i8"), *digests) if with_ids else digests)
         return rows
 
-    return per_text(df, work, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", key, text)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return per_text(df, work, "ids array<bigint>, " + schema if with_ids else schema, key, text)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

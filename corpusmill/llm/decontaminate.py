@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table
+from .common import per_text, small_batches, table
 from .rolling import window_hashes
 
 #: Characters in a q-gram; edits allowed for each character of a passage.
@@ -196,7 +196,7 @@ def contaminated(
 
     def of_block(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = Passages(block)
+            passages = _index(block)
             for batch in batches:
                 rows: list[tuple] = []
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -217,6 +217,46 @@ def contaminated(
     return found
 
 
+def flagged(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id"
+) -> DataFrame:
+    """(key, contaminated) for every row: whether its whole text holds any passage. See `contaminated` for odd cases."""
+
+    def of_block(block: list[tuple[int, str]]):
+        def work(texts: list[bytes]) -> list[tuple]:
+            passages = _index(block)
+            bodies = [t.decode() for t in texts]
+            return [(bool(found),) for at, end in slices(bodies) for found in passages.matches(bodies[at:end])]
+
+        return work
+
+    blocks = passage_blocks(benchmark, item)
+    if len(blocks) == 1:
+        return per_text(df, of_block(blocks[0]), "contaminated boolean", key, text)
+    # A block after the other, each over the rows as they are; the flags are carried along.
+    rows = df.select(F.struct(F.col(f"`{key}`").alias("key"), F.lit(False).alias("held")).alias("row"), F.col(f"`{text}`").alias("text"))
+    for block in blocks:
+        carried = rows.select(F.struct("row", "text").alias("row"), "text")
+        found = per_text(carried, of_block(block), "hit boolean", "row", "text")
+        rows = found.select(
+            F.struct(F.col("row.row.key").alias("key"), (F.col("row.row.held") | F.col("hit")).alias("held")).alias("row"),
+            F.col("row.text").alias("text"),
+        )
+    return rows.select(F.col("row.key").alias(key), F.col("row.held").alias("contaminated"))
+
+
+_INDEX: dict[int, Passages] = {}
+
+
+def _index(block: list[tuple[int, str]]) -> Passages:
+    """A worker's index of the block at hand, made once."""
+    mark = hash(tuple(block))
+    if mark not in _INDEX:
+        _INDEX.clear()
+        _INDEX[mark] = Passages(block)
+    return _INDEX[mark]
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
