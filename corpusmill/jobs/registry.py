@@ -1,5 +1,7 @@
 """Every query of the core library, by name, with its SQL."""
 
-MODULES: tuple = ()
+from ..operators import ranking, retrieval
+
+MODULES = (ranking, retrieval)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
