@@ -21,7 +21,7 @@ IES_WORDS = "series species movies cookies selfies veggies zombies genies rookie
 
 WORD = r"[\p{L}\p{N}_]+"
 #: Scripts without spaces between words: Han, Hiragana, Katakana, Hangul (fixed ranges).
-CJK = r"一-鿿぀-ゟ゠-ヿ가-힣"
+CJK = r"\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7A3}"
 
 
 def text_of(column: str | Column) -> Column:
