@@ -32,6 +32,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float = JACCARD) -> DataFrame:
     of their first size - ceil(threshold * size) + 1 tokens. Candidates are
     counted on those alone, and only pairs whose sizes allow it are compared.
     """
+    reps = reps.select("set", "rep")
     exploded = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
     df = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = exploded.join(df, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
