@@ -1,7 +1,7 @@
 """Every query of the core library, by name, with its SQL."""
 
-from ..operators import evaluation, graph, ledger, lint, ranking, retrieval, similarity, temporal
+from ..operators import composite, evaluation, graph, ledger, lint, ranking, retrieval, similarity, temporal
 
-MODULES = (evaluation, graph, ledger, lint, ranking, retrieval, similarity, temporal)
+MODULES = (composite, evaluation, graph, ledger, lint, ranking, retrieval, similarity, temporal)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
