@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import sys
 from itertools import chain
 
@@ -26,7 +27,8 @@ from .common import per_text, table
 
 #: Entries kept in a worker's caches; a full cache is emptied, results stay the same.
 MAX_STATES = 200_000
-MAX_PIECES = 250_000
+MAX_PIECES = 150_000
+MAX_PAIRS = 100_000
 #: Bytes after which tokens leave at the next final boundary; shorter pieces leave at their end.
 LONG = 256
 
@@ -100,7 +102,7 @@ class Ranks:
                     limit, a = a, self.split(a)[1]
                 else:
                     limit, b = b + 1 if joint != b else b, self.split(b)[0]
-            if len(self._pair) > 2_000_000:
+            if len(self._pair) > MAX_PAIRS:
                 self._pair.clear()
             self._pair[key] = known
         return known
@@ -120,25 +122,29 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((b"", -1),)
+        # States are packed, as many are held: boundaries as (bytes since, token + 1), then the bytes since the first.
+        start = struct.pack("<BHI", 1, 0, 0)
         self.states, self.ids = [start], {start: 0}
         self.moves: list[dict[int, tuple[int, int, int, bool]]] = [{}]
 
     def _make(self, state: int, byte: int) -> tuple[int, int, int, bool]:
         """(next state, token that ends here, its length, whether all before it is final)"""
-        ranks, more = self.ranks, bytes((byte,))
+        ranks, packed = self.ranks, self.states[state]
         found, live = -1, []
-        for since, before in self.states[state]:
-            here = since + more
+        bounds = list(struct.iter_unpack("<HI", packed[1 : 1 + 6 * packed[0]]))
+        seen = packed[1 + 6 * packed[0] :] + bytes((byte,))
+        for back, before in bounds:
+            here, before = seen[len(seen) - back - 1 :], before - 1
             if found < 0:
                 token = ranks.rank.get(here)
                 if token is not None and ranks.split(token) and (before < 0 or ranks.beside(before, token)):
                     found = token
             if here in ranks.inner:
-                live.append((here, before))
+                live.append((back + 1, before + 1))
         if found < 0:
             raise ValueError("no token ends at this byte")
-        target = (*live, (b"", found))
+        kept = [x for bound in (*live, (0, found + 1)) for x in bound]
+        target = struct.pack("<B" + "HI" * (len(live) + 1), len(live) + 1, *kept) + seen[len(seen) - kept[0] :]
         if target not in self.ids:
             self.ids[target] = len(self.states)
             self.states.append(target)
