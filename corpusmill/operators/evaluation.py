@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..functions.oracle import bm25_sql, tokens_sql
 from ..sources.tables import table
+from .ranking import query_blocks
 from .retrieval import bm25_scores, doc_tokens, top_k
 
 K = 10
@@ -45,10 +46,14 @@ def sign_test_p(n_pos: int, n_neg: int) -> float:
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is relevant to a passage if it holds the passage's first 40 characters; found by their words first."""
+    """A document is relevant to a passage if it holds the passage's first 40 characters; passages go in bounded blocks."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("head"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return d.join(F.broadcast(q), F.contains("text", "head")).select("item_id", "doc_id", "lang")
+    found = None
+    for block in query_blocks(q, "item_id"):
+        part = d.join(F.broadcast(block), F.contains("text", "head")).select("item_id", "doc_id", "lang")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:

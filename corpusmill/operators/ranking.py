@@ -12,6 +12,8 @@ from .retrieval import bm25_scores, top_k
 RRF_K, KNEE, LAMBDA, DENSE_FLOOR = 60, 0.5, 0.8, 0.5
 #: Query vectors: every vector whose id is divisible by this.
 QUERY_STEP = 20
+#: Queries in one broadcast block; more queries go in more blocks.
+BLOCK_QUERIES = 50_000
 
 
 def normalised(vector: Column) -> Column:
@@ -25,18 +27,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """The queries in blocks of about BLOCK_QUERIES rows, by a hash of their key, each small enough to broadcast."""
+    n = max(1, -(-queries.count() // BLOCK_QUERIES))
+    of = F.pmod(F.xxhash64(key), F.lit(n))
+    return [queries.where(of == i) for i in range(n)] if n > 1 else [queries]
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, floor: float = DENSE_FLOOR) -> DataFrame:
     """(query_id, vec_id, score) of cosine at least `floor`.
 
-    A stated set of query vectors against all rows: the queries are dealt out as
-    a broadcast block, since they are few by contract.
+    A stated set of query vectors against all rows, in broadcast blocks of a
+    bounded number of queries.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), normalised(F.col("embedding")).alias("q"))
     v = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
-    pairs = v.crossJoin(F.broadcast(q)).where("vec_id <> query_id")
-    return pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score")).where(
-        F.round("score", 9) >= floor
-    )
+    found = None
+    for block in query_blocks(q, "query_id"):
+        pairs = v.crossJoin(F.broadcast(block)).where("vec_id <> query_id")
+        part = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+        part = part.where(F.round("score", 9) >= floor)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def reciprocal_ranks(rankings: list[tuple[DataFrame, float]], query_key: str, key: str) -> DataFrame:

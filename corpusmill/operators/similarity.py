@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import text as T
 from ..functions.oracle import bm25_sql, tokens_sql
 from ..sources.tables import table
-from .ranking import dot, normalised
+from .ranking import dense_scores
 from .retrieval import bm25_scores, top_k
 
 JACCARD, LEAST_TOKENS = 0.8, 4
@@ -86,10 +86,8 @@ def self_normalised_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query vector the other vectors at cosine 0.3 or more (these vectors lie far apart), three at most."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", normalised(F.col("embedding")).alias("v"))
-    q = v.where("vec_id % 20 = 0").toDF("query_id", "q")
-    s = v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
-    near = top_k(s.where(F.round("score", 9) >= 0.3), 3, "query_id", "vec_id")
+    v = table(spark, sf_dir, "embeddings")
+    near = top_k(dense_scores(v, v.where("vec_id % 20 = 0"), 0.3), 3, "query_id", "vec_id")
     return near.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
