@@ -161,7 +161,8 @@ def links(keys: DataFrame) -> DataFrame:
     A key held by more than BLOCK fingerprints is dealt out in blocks, and every
     pair of blocks is a group, so no task takes the whole of it.
     """
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    # Read from a table, so that Spark can split a key with very many fingerprints in the join.
+    sizes = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     shared = keys.join(sizes, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
@@ -244,7 +245,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    least = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component")))
     named = checkpointed(rooted.join(least, "root").select("fp", "component"))
     return prints.join(named, "fp").select(key, "fp", "component")
 
