@@ -26,7 +26,7 @@ def count_of(text: Column, pattern: str) -> Column:
 
 def invisible(text: Column) -> Column:
     """struct of counts; a joiner between two emoji isn't counted."""
-    joined = F.regexp_replace(text, rf"(?<={EMOJI})\x{{200D}}(?={EMOJI})", "")
+    joined = F.regexp_replace(text, rf"({EMOJI})\x{{200D}}(?={EMOJI})", "$1")
     return F.struct(
         count_of(joined, ZERO_WIDTH).alias("zero_width"),
         count_of(text, BIDI).alias("bidi"),
