@@ -1,8 +1,8 @@
 """Secret scans in DataFrame functions only.
 
 Named patterns give the base spans. Further spans come from two character Markov
-models, one of random strings and one of ordinary identifiers: a run of token
-characters is a secret if its log-likelihood ratio is high enough.
+models, one of random strings and one of ordinary identifiers and words: a part of
+a run of token characters is a secret if its log-likelihood ratio is high enough.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 #: Base patterns in their listed order (fixed values).
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
-#: Runs that the models judge: 20 or more token characters with a digit among them.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs of token characters, which the models judge, and the words of ordinary texts.
+RUN, WORD = r"[A-Za-z0-9+/_=-]{2,}+", r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}+(?![0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Model symbols: small letters as they are, U a capital, 0 a digit, _ any other.
@@ -28,6 +28,10 @@ _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=-"
 _TO = "U" * 26 + "0" * 10 + "_" * 4
 #: Labelled samples of each class, smoothing of the counts, least log-likelihood ratio of a secret.
 SAMPLES, SMOOTH, LEAST = 4000, 0.5, 12.0
+#: Rows whose words train the ordinary model (about), and the symbol pairs that these words weigh together.
+WORD_ROWS, WORD_PAIRS = 20_000, 200_000
+#: Frequent words that are scored once for all texts, at most. A word beyond them is scored where it stands.
+MOST_KNOWN = 20_000
 #: Words that ordinary identifiers are made of.
 IDENTIFIER_WORDS = (
     "get set list item name value index count total user account order line table column row key file path data "
@@ -71,19 +75,36 @@ def symbols(token: Column) -> Column:
     return F.translate(token, _FROM, _TO)
 
 
-def train(samples: DataFrame) -> list[float]:
+def words(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): words of letters alone in a sample of the rows, which are ordinary but for very few."""
+    share = max(1, df.count() // WORD_ROWS)
+    body = df.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(share)) == 0).select(F.col(f"`{text}`").alias("text"))
+    found = body.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    return checkpointed(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _pairs(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of `by` and every symbol pair of `sample`."""
+    coded = df.select(*by, symbols(F.col("sample")).alias("s")).where(F.length("s") > 1)
+    return coded.select(*by, F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("pair"))
+
+
+def train(samples: DataFrame, ordinary: DataFrame | None = None) -> list[float]:
     """Log-likelihood ratio of every symbol pair, random over ordinary, row by first symbol.
 
-    The counts are taken by Spark; at most two per symbol pair reach the driver.
+    `ordinary` (word, n) are words that count as ordinary beside the samples. The
+    counts are taken by Spark; at most three per symbol pair reach the driver.
     """
-    coded = samples.select("is_random", symbols(F.col("sample")).alias("s")).where(F.length("s") > 1)
-    pairs = coded.select(
-        "is_random", F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("pair")
-    )
     counts = {
         (r["is_random"], r["pair"]): r["n"]
-        for r in pairs.groupBy("is_random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in _pairs(samples, "is_random").groupBy("is_random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()
     }
+    if ordinary is not None:
+        pairs = _pairs(ordinary.withColumnRenamed("word", "sample"), "n")
+        held = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+        total = sum(held.values())
+        for pair, n in held.items():
+            counts[False, pair] = counts.get((False, pair), 0) + n * min(1.0, WORD_PAIRS / total)
 
     def log_p(kind: bool, a: str, b: str) -> float:
         row = sum(counts.get((kind, a + c), 0) for c in SYMBOLS)
@@ -92,21 +113,77 @@ def train(samples: DataFrame) -> list[float]:
     return [log_p(True, a, b) - log_p(False, a, b) for a in SYMBOLS for b in SYMBOLS]
 
 
-def log_ratio(token: Column, weights: list[float]) -> Column:
-    """Log-likelihood ratio of a token of the run's characters."""
-    coded, table_ = symbols(token), F.lit([float(w) for w in weights])
-    alphabet = F.lit(SYMBOLS)
-    place = lambda i: F.instr(alphabet, F.substr(coded, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(
-        steps, F.lit(0.0), lambda sum_, i: sum_ + F.get(table_, (place(i) - 1) * len(SYMBOLS) + place(i + 1) - 1)
+def known_words(ordinary: DataFrame, weights: list[float]) -> list[str]:
+    """Frequent words without a secret part."""
+    top = ordinary.where(F.length("word") >= least_length(weights)).orderBy(F.desc("n"), "word").limit(MOST_KNOWN)
+    return [r["word"] for r in top.where(~holds_secret(F.col("word"), weights)).collect()]
+
+
+def least_length(weights: list[float]) -> int:
+    """Characters that a run needs to reach the least ratio."""
+    return 1 + max(1, math.ceil(LEAST / max(weights))) if max(weights) > 0 else 1 << 30
+
+
+def steps(token: Column, weights: list[float]) -> Column:
+    """array<struct<i,w>>: ratio of every symbol pair of a token of two characters or more, from 1."""
+    table_, alphabet = F.lit([float(w) for w in weights]), F.lit(SYMBOLS)
+    # What a lambda is given is computed once; an outer expression in it, for every element.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+    places = F.transform(F.split(symbols(token), ""), lambda c: F.instr(alphabet, c) - 1)
+    ratio = lambda codes, i: F.get(table_, F.get(codes, i - 1) * len(SYMBOLS) + F.get(codes, i))
+    pairs = F.sequence(F.lit(1), F.length(token) - 1)
+    return once(places, lambda codes: F.transform(pairs, lambda i: F.struct(i.alias("i"), ratio(codes, i).alias("w"))))
+
+
+def holds_secret(token: Column, weights: list[float]) -> Column:
+    """Whether some part of a token reaches the least ratio: a running sum that starts anew below 0 and stays once there."""
+    grow = lambda sum_, x: F.when(sum_ >= LEAST, sum_).otherwise(F.greatest(sum_ + x["w"], F.lit(0.0)))
+    return F.aggregate(steps(token, weights), F.lit(0.0), grow) >= LEAST
+
+
+def parts(token: Column, weights: list[float]) -> Column:
+    """array<struct<start,end>>: the parts of a token that reach the least ratio, each drawn out to the next of + / _ = -.
+
+    A part ends at its highest sum, once the sum falls to 0 or by the least
+    ratio; so every part that reaches it overlaps one of these.
+    """
+    kind_of = "array<struct<start:int,end:int>>"
+    zero = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("best"), F.lit(0).alias("end"),
+        F.array().cast(kind_of).alias("found"),
+    )
+    closed = lambda state: F.when(
+        state["best"] >= LEAST,
+        F.concat(state["found"], F.array(F.struct(state["start"].alias("start"), state["end"].alias("end")))),
+    ).otherwise(state["found"])
+
+    def add(state: Column, x: Column) -> Column:
+        # A part that fell too far is closed before the next pair is added.
+        over = (state["sum"] <= 0) | (state["sum"] <= state["best"] - LEAST)
+        sum_ = F.when(over, F.lit(0.0)).otherwise(state["sum"]) + x["w"]
+        best = F.when(over, F.lit(0.0)).otherwise(state["best"])
+        return F.struct(
+            sum_.alias("sum"),
+            F.when(over, x["i"] - 1).otherwise(state["start"]).alias("start"),
+            F.greatest(best, sum_).alias("best"),
+            F.when(sum_ > best, x["i"] + 1).otherwise(state["end"]).alias("end"),
+            F.when(over, closed(state)).otherwise(state["found"]).alias("found"),
+        )
+
+    found = F.aggregate(steps(token, weights), zero, add, closed)
+    part = lambda text: F.instr(F.concat(F.translate(text, "+/=-", "____"), F.lit("_")), "_") - 1
+    before = lambda x: part(F.reverse(F.substr(token, F.lit(1), x["start"])))
+    after = lambda x: part(F.substr(token, x["end"] + 1))
+    return F.array_distinct(
+        F.transform(found, lambda x: F.struct((x["start"] - before(x)).alias("start"), (x["end"] + after(x)).alias("end")))
     )
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+def spans(text: Column, pattern: str, kind: int, group: int = 0, wanted: Column | None = None) -> Column:
     """array<struct<start,kind,end,value>> of a pattern's leftmost non-overlapping matches, in code points.
 
-    The texts between the matches give their places.
+    The texts between the matches give their places. With `wanted`, an array,
+    only matches whose value is in it.
     """
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
@@ -123,30 +200,64 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         start = state["at"] + part["gap"]
         end = start + part["size"]
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+        longer = F.concat(state["found"], F.array(one))
+        if wanted is not None:
+            longer = F.when(F.array_contains(wanted, part["value"]), longer).otherwise(state["found"])
+        return F.struct(end.alias("at"), longer.alias("found"))
 
     found = F.aggregate(parts, zero, add, lambda state: state["found"])
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(kind_of))
 
 
-def find(df: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
+def _overlaid(body: Column, found: Column) -> Column:
+    """The text with a blank for every character of the spans."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(state: Column, span: Column) -> Column:
+        start = F.greatest(state["at"], span["start"])
+        gap = F.substr(body, state["at"] + 1, start - state["at"])
+        blank = F.repeat(F.lit(" "), F.greatest(span["end"] - start, F.lit(0)))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap, blank).alias("out"))
+
+    over = F.aggregate(found, zero, add, lambda state: F.concat(state["out"], F.substr(body, state["at"] + 1)))
+    return F.when(F.size(found) > 0, over).otherwise(body)
+
+
+def find(df: DataFrame, weights: list[float], text: str = "text", known: list[str] | None = None) -> DataFrame:
     """`df` with `secret_base` and `secret_all`: arrays of (start, kind, end) by start, then kind.
 
     A null text has no spans, like an empty one. Matches of different patterns
-    may overlap; a run that the models judge is left out where a base span
-    already touches it. New columns replace existing ones of the same name.
+    may overlap; the models judge what base spans leave of a run. `known` are
+    words without a secret part, which need no score. New columns replace
+    existing ones of the same name.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"], x["kind"], x["end"]))
     assigned = F.filter(spans(body, ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(bare(assigned), bare(spans(body, ACCESS, 1)), bare(spans(body, HEX, 2))))
-    runs = F.filter(
-        spans(body, RUN, 3),
-        lambda x: (log_ratio(x["value"], weights) >= LEAST)
-        & ~F.exists(F.col("secret_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
     out = df.withColumn("secret_base", base)
-    return out.withColumn("secret_all", F.array_sort(F.concat(F.col("secret_base"), bare(runs))))
+    if least_length(weights) >= 1 << 30:
+        return out.withColumn("secret_all", F.col("secret_base"))
+    left = _overlaid(body, F.col("secret_base"))
+    runs = F.array_distinct(F.regexp_extract_all(left, F.lit(RUN), F.lit(0)))
+    long = F.filter(runs, lambda x: F.length(x) >= least_length(weights))
+    rare = F.filter(long, lambda x: ~x.isin(known)) if known else long
+    out = out.withColumn("secret_runs", F.filter(rare, lambda x: holds_secret(x, weights)))
+    placed = F.flatten(
+        F.transform(
+            spans(left, RUN, 3, wanted=F.col("secret_runs")),
+            lambda run: F.transform(
+                parts(run["value"], weights),
+                lambda x: F.struct(
+                    (run["start"] + x["start"]).alias("start"), run["kind"].alias("kind"), (run["start"] + x["end"]).alias("end")
+                ),
+            ),
+        )
+    )
+    every = F.array_sort(F.concat(F.col("secret_base"), placed))
+    return out.withColumn(
+        "secret_all", F.when(F.size("secret_runs") > 0, every).otherwise(F.col("secret_base"))
+    ).drop("secret_runs")
 
 
 def joined(found: Column) -> Column:
@@ -161,9 +272,11 @@ def joined(found: Column) -> Column:
     )
 
 
-def redact(df: DataFrame, weights: list[float], mark: str = "[SECRET]", text: str = "text") -> DataFrame:
+def redact(
+    df: DataFrame, weights: list[float], mark: str = "[SECRET]", text: str = "text", known: list[str] | None = None
+) -> DataFrame:
     """`df` with every secret of its texts replaced by a mark; overlapping spans by one."""
-    found = find(df, weights, text)
+    found = find(df, weights, text, known)
     body = F.col(f"`{text}`")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -183,9 +296,11 @@ def redact(df: DataFrame, weights: list[float], mark: str = "[SECRET]", text: st
     )
 
 
-def scan(df: DataFrame, weights: list[float], text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan(
+    df: DataFrame, weights: list[float], text: str = "text", key: str = "doc_id", known: list[str] | None = None
+) -> DataFrame:
     """Per row of `df`: counts of the base kinds, the digest of the base spans, and all spans."""
-    found = find(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")), weights)
+    found = find(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")), weights, known=known)
     n = lambda kind: F.size(F.filter(F.col("secret_base"), lambda x: x["kind"] == kind)).cast("bigint")
     return found.select(
         F.col(f"`{key}`"),
@@ -198,7 +313,10 @@ def scan(df: DataFrame, weights: list[float], text: str = "text", key: str = "do
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), train(labelled_samples(spark)))
+    docs = table(spark, sf_dir, "documents")
+    ordinary = words(docs)
+    weights = train(labelled_samples(spark), ordinary)
+    return scan(docs, weights, known=known_words(ordinary, weights))
 
 
 QUERIES = {"op10_secrets": op10_secrets}
