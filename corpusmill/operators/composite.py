@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import text as T
 from ..functions.oracle import bm25_sql
 from ..sources.tables import table
-from .graph import _E, checkpointed, components, supply_edges, undirected
+from .graph import _E, components, supply_edges, undirected
 from .ledger import _S, sessions
 from .ranking import _UNIT, DENSE_FLOOR, dense_scores
 from .retrieval import bm25_scores, top_k
@@ -80,7 +80,7 @@ def reward_propagation(spark: SparkSession, sf_dir: str, rounds: int = 3) -> Dat
     front = table(spark, sf_dir, "part").where("p_size >= 45").select(F.col("p_partkey").alias("node"), F.lit(1).cast("bigint").alias("hits"))
     total = None
     for _ in range(rounds):
-        front = checkpointed(front.join(e, front["node"] == e["dst"]).groupBy(F.col("src").alias("node")).agg(F.sum("hits").alias("hits")))
+        front = stored(front.join(e, front["node"] == e["dst"]).groupBy(F.col("src").alias("node")).agg(F.sum("hits").alias("hits")))
         total = front if total is None else total.unionByName(front)
     return total.groupBy("node").agg(F.sum("hits").alias("reward"))
 
@@ -116,7 +116,7 @@ def abstention_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same queries over all documents and over those of one language: rows gained and lost by query."""
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    scored = checkpointed(bm25_scores(d, q))
+    scored = stored(bm25_scores(d, q))
     a = top_k(scored, 10).select("item_id", "doc_id", F.lit(1).alias("a"))
     kept = scored.join(d.where("lang <> 'fr'").select("doc_id"), "doc_id", "left_semi")
     b = top_k(kept, 10).select("item_id", "doc_id", F.lit(1).alias("b"))

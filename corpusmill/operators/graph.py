@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from ..sources.tables import table
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage, in the cluster's shared checkpoint folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
-    return df.checkpoint(eager=True)
-
-
 def resolve_aliases(claims: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets joined with what their alias names: (…, node or null, n_claimants).
 
@@ -57,24 +46,24 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     front = seen
     for depth in range(1, hops + 1):
         step = front.join(e, front["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        front = checkpointed(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = stored(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each weak component. Rounds end when no label changes."""
-    both = checkpointed(undirected(edges))
-    labels = checkpointed(nodes.select("node", F.col("node").alias("component")))
+    both = stored(undirected(edges))
+    labels = stored(nodes.select("node", F.col("node").alias("component")))
     while True:
         offers = both.join(labels.toDF("src", "offer"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("offer").alias("offer"))
         taken = labels.join(offers, "node", "left").select("node", "component", F.least("component", "offer").alias("taken"))
-        taken = checkpointed(taken)
+        taken = stored(taken)
         if taken.where("taken < component").isEmpty():
             return labels
         via = taken.select("node", F.col("taken").alias("via"))
         hop = taken.select(F.col("node").alias("via"), F.col("taken").alias("next"))
-        labels = checkpointed(via.join(hop, "via", "left").select("node", F.coalesce("next", "via").alias("component")))
+        labels = stored(via.join(hop, "via", "left").select("node", F.coalesce("next", "via").alias("component")))
 
 
 # --- queries ----------------------------------------------------------------------------------------------------------
