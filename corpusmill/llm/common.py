@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import forget, stored
+
+__all__ = ["BATCH_ROWS", "forget", "per_text", "small_batches", "stored", "table"]
+
 #: Rows in one Arrow batch. Texts may be very long, so batches hold few rows.
 BATCH_ROWS = 256
 
@@ -21,21 +24,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and read it back.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset
-    (local tests) a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
-    return df.checkpoint(eager=True)
-
-
 def per_text(
     df: DataFrame,
     work: Callable[[list[bytes]], list[tuple]],

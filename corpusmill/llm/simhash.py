@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import checkpointed, per_text, small_batches, table
+from .common import stored, per_text, small_batches, table
 
 #: Words in a shingle; bits that linked fingerprints may differ in.
 SHINGLE, RADIUS = 3, 3
@@ -162,7 +162,7 @@ def links(keys: DataFrame) -> DataFrame:
     pair of blocks is a group, so no task takes the whole of it.
     """
     # Read from a table, so that Spark can split a key with very many fingerprints in the join.
-    sizes = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    sizes = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     shared = keys.join(sizes, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
@@ -218,17 +218,17 @@ def components(edges: DataFrame) -> DataFrame:
     label of its label; rounds end when no label changes. Labels are written to
     the shared checkpoint folder each round.
     """
-    both = checkpointed(edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "peer"))
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")))
+    both = stored(edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "peer"))
+    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")))
     while True:
         offered = both.join(labels.toDF("peer", "offer"), "peer").groupBy("node").agg(F.min("offer").alias("offer"))
         taken = labels.join(offered, "node").select("node", "root", F.least("root", "offer").alias("taken"))
-        taken = checkpointed(taken)
+        taken = stored(taken)
         if taken.where("taken < root").isEmpty():
             return labels
         step = taken.select("node", F.col("taken").alias("via"))
         jump = taken.select(F.col("node").alias("via"), F.col("taken").alias("next"))
-        labels = checkpointed(step.join(jump, "via", "left").select("node", F.coalesce("next", "via").alias("root")))
+        labels = stored(step.join(jump, "via", "left").select("node", F.coalesce("next", "via").alias("root")))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -239,14 +239,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     component through their fingerprint, but never name one. Repeated rows stay.
     """
     small_batches(df.sparkSession)
-    prints = checkpointed(fingerprints(df, text, key))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min(key).alias("first")))
+    prints = stored(fingerprints(df, text, key))
+    distinct = stored(prints.groupBy("fp").agg(F.min(key).alias("first")))
     roots = components(links(key_rows(distinct)))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component")))
-    named = checkpointed(rooted.join(least, "root").select("fp", "component"))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component")))
+    named = stored(rooted.join(least, "root").select("fp", "component"))
     return prints.join(named, "fp").select(key, "fp", "component")
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, common, decontaminate, html_text, licenses, media, registry, secrets, simhash, substrings, token_counts, toxicity
+from corpusmill.llm import bpe, common, decontaminate, html_text, licenses, media, registry, secrets, simhash, substrings, suffixes, token_counts, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -307,9 +307,11 @@ def brute_removal(texts):
     return out
 
 
-@pytest.mark.parametrize("block", [500, 7])
-def test_removal_of_pieces(spark, monkeypatch, block):
-    monkeypatch.setattr(substrings, "BLOCK", block)
+@pytest.mark.parametrize("most, shard", [(2_000, 1 << 21), (2_000, 1500), (6, 1500), (0, 1 << 21)])
+def test_removal_of_pieces(spark, monkeypatch, most, shard):
+    """Also with contexts that go on from shard to shard, and dealt out by longer grams and by single windows."""
+    monkeypatch.setattr(substrings, "MOST_MERGED", most)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
     rng = random.Random(5)
     base = [bytes(rng.choice(b"abcdefgh ") for _ in range(900)) for _ in range(5)]
     texts = []
@@ -336,13 +338,44 @@ def test_removal_query(spark, sf_dir, docs):
 
 def test_suffix_order():
     rng = random.Random(9)
-    codes = np.array([rng.randint(1, 3) for _ in range(400)], "i8")
-    order, levels = substrings.suffix_order(codes, 400)
-    want = sorted(range(400), key=lambda i: codes[i:].tolist())
-    assert order.tolist() == want
-    a, b = order[:-1], order[1:]
-    got = substrings.shares(levels, a, b, 9)
-    assert got.tolist() == [codes[i : i + 9].tolist() == codes[j : j + 9].tolist() and max(i, j) + 9 <= 400 for i, j in zip(a, b)]
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(40)] + [b"ab" * 20] * 3
+    codes = np.concatenate([np.append(np.frombuffer(t, "u1").astype("i8") + 1, 0) for t in texts])
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    left = np.append(np.array([len(texts[o]) - (i - starts[o]) for i, o in enumerate(owner)]), 0)
+    words = suffixes.packed(codes)
+    for depth in (3, 9, 30):
+        order = suffixes.suffix_order(words, left, depth)
+        cut = [codes[i : i + depth].tolist() for i in order]
+        assert sorted(order.tolist()) == np.flatnonzero(left[:-1] >= depth).tolist()
+        assert cut == sorted(cut)
+        got = suffixes.common_prefixes(words, left, starts, order, depth)
+        want = [0] + [next((k for k in range(depth) if a[k] != b[k]), depth) for a, b in zip(cut, cut[1:])]
+        assert got.tolist() == want
+
+
+def test_shards_merge_by_binary_search():
+    rng = random.Random(2)
+    base = [bytes(rng.choice(b"abc") for _ in range(700)) for _ in range(3)]
+    contexts = [(g, 100 * g + i, 900, 5, base[g][a : a + 230]) for g in range(3) for i, a in enumerate(rng.sample(range(400), 30))]
+    whole, cut = substrings.Shards(), substrings.Shards()
+    for c in contexts:
+        whole.add(c)
+
+    def covered(batches):
+        marks = Counter()
+        for b in batches:
+            for src, _, start, end in zip(*(c.to_pylist() for c in b.columns)):
+                marks.update({(src, i): 1 for i in range(start, end)})
+        return set(marks)
+
+    want = covered([whole.flush()])
+    out = []
+    for i, c in enumerate(contexts):
+        cut.add(c)
+        if i % 7 == 3:
+            out.append(cut.flush())
+    assert want and covered([*out, cut.flush()]) == want
 
 
 # --- licenses ---
