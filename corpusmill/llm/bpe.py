@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 import sys
-from itertools import chain
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import per_text, table
 
 #: Entries kept in a worker's caches; a full cache is emptied, results stay the same.
-MAX_STATES = 200_000
-MAX_PIECES = 150_000
-MAX_PAIRS = 100_000
+MAX_STATES = 300_000
+MAX_PIECES = 200_000
+MAX_PAIRS = 300_000
+#: Bits of a token in a boundary, and where a move has its next state, in eights for the byte that follows.
+TOKEN_BITS, TOKEN_MASK, STATE_MASK = 24, (1 << 24) - 1, 0xFFFFFF00
 #: Bytes after which tokens leave at the next final boundary; shorter pieces leave at their end.
 LONG = 256
 
@@ -41,11 +42,8 @@ class Ranks:
             pairs = (line.split() for line in lines)
             self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.bytes = {r: t for t, r in self.rank.items()}
-        self.longest = max(map(len, self.rank))
         self._split: dict[int, tuple[int, int] | None] = {}
         self._pair: dict[int, bool] = {}
-        #: Proper prefixes of tokens: bytes after which a token can still go on.
-        self.inner = {token[:i] for token in self.rank for i in range(1, len(token))}
 
     def merged(self, data: bytes) -> list[int]:
         """Token ids of `data` by repeatedly merging the pair of lowest rank, leftmost first."""
@@ -112,70 +110,84 @@ class Transducer:
     """Lazily determinised transducer from the bytes of one piece to token ids.
 
     A state holds the boundaries from which a vocabulary token can still go on:
-    the bytes since each, and the token that ends at it. A transition gives the
-    token that ends at the byte just read. Once only one boundary is left, no
-    token can cross it, so what lies before it is final and leaves.
+    where in the prefix tree of the vocabulary the bytes since each stand, and
+    the token that ends at it. A transition gives the token that ends at the byte
+    just read. Once only one boundary is left, no token can cross it, so what
+    lies before it is final and leaves.
+
+    States and moves are numbers: a move is the token, whether all before it is
+    final, and the next state; it is known by state and byte.
     """
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
+        self.sizes = [len(ranks.bytes.get(i, b"")) for i in range(max(ranks.bytes) + 1)]
+        #: The prefix tree: (node, byte) to node, and the token that a node's bytes are.
+        self.tree: dict[int, int] = {}
+        self.token = [-1]
+        for token, data in ranks.bytes.items():
+            node = 0
+            for byte in data:
+                at = node << 8 | byte
+                node = self.tree.get(at, 0)
+                if not node:
+                    node = self.tree[at] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = token
+        self.inner = {at >> 8 for at in self.tree}
         self._reset()
 
     def _reset(self) -> None:
-        # States are packed, as many are held: boundaries as (bytes since, token + 1), then the bytes since the first.
-        start = struct.pack("<BHI", 1, 0, 0)
-        self.states, self.ids = [start], {start: 0}
-        self.moves: list[dict[int, tuple[int, int, int, bool]]] = [{}]
-
-    def _make(self, state: int, byte: int) -> tuple[int, int, int, bool]:
-        """(next state, token that ends here, its length, whether all before it is final)"""
-        ranks, packed = self.ranks, self.states[state]
-        found, live = -1, []
-        bounds = list(struct.iter_unpack("<HI", packed[1 : 1 + 6 * packed[0]]))
-        seen = packed[1 + 6 * packed[0] :] + bytes((byte,))
-        for back, before in bounds:
-            here, before = seen[len(seen) - back - 1 :], before - 1
-            if found < 0:
-                token = ranks.rank.get(here)
-                if token is not None and ranks.split(token) and (before < 0 or ranks.beside(before, token)):
+        # A boundary is (node, token + 1) in one number; at the start no token ends.
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.ids = {(0,): 0}
+        self.moves: dict[int, int] = {}
+
+    def _make(self, state: int, byte: int) -> int:
+        ranks, tree, found, live = self.ranks, self.tree, -1, []
+        for bound in self.states[state]:
+            node, before = tree.get((bound >> TOKEN_BITS) << 8 | byte), (bound & TOKEN_MASK) - 1
+            if node is None:
+                continue
+            if found < 0 and (token := self.token[node]) >= 0:
+                if ranks.split(token) and (before < 0 or ranks.beside(before, token)):
                     found = token
-            if here in ranks.inner:
-                live.append((back + 1, before + 1))
+            if node in self.inner:
+                live.append(node << TOKEN_BITS | before + 1)
         if found < 0:
             raise ValueError("no token ends at this byte")
-        kept = [x for bound in (*live, (0, found + 1)) for x in bound]
-        target = struct.pack("<B" + "HI" * (len(live) + 1), len(live) + 1, *kept) + seen[len(seen) - kept[0] :]
-        if target not in self.ids:
-            self.ids[target] = len(self.states)
+        target = (*live, found + 1)
+        at = self.ids.get(target)
+        if at is None:
+            at = self.ids[target] = len(self.states)
             self.states.append(target)
-            self.moves.append({})
-        move = (self.ids[target], found, len(ranks.bytes[found]), not live)
-        self.moves[state][byte] = move
+        move = self.moves[state << 8 | byte] = found << 33 | (not live) << 32 | at << 8
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, moves = 0, [], self.moves
-        path: list[tuple[int, int, int, bool]] = []  # moves since the last boundary known to be final
+        state, out, get = 0, [], self.moves.get
+        path: list[int] = []  # moves since the last boundary known to be final
         for byte in piece:
-            move = moves[state].get(byte) or self._make(state, byte)
-            state = move[0]
+            move = get(state | byte)
+            if move is None:
+                move = self._make(state >> 8, byte)
+            state = move & STATE_MASK
             path.append(move)
-            if move[3] and len(path) > LONG:
+            if len(path) > LONG and move >> 32 & 1:
                 out += self._back(path)
                 path.clear()
         out += self._back(path)
         return tuple(out)
 
-    @staticmethod
-    def _back(path: list[tuple[int, int, int, bool]]) -> list[int]:
+    def _back(self, path: list[int]) -> list[int]:
         """The tokens of the last boundary's chain, found from its end."""
-        at, found = len(path) - 1, []
+        at, found, sizes = len(path) - 1, [], self.sizes
         while at >= 0:
-            _, token, size, _ = path[at]
+            token = path[at] >> 33
             found.append(token)
-            at -= size
+            at -= sizes[token]
         found.reverse()
         return found
 
@@ -251,6 +263,24 @@ class Decoder:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
+class Pieces(dict):
+    """Ids of pieces as bytes, encoded when first asked for."""
+
+    def __init__(self, ranks: Ranks, machine: Transducer, older: dict):
+        super().__init__()
+        self.ranks, self.machine, self.older = ranks, machine, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode()
+            whole = self.ranks.rank.get(data)
+            ids = array("I", (whole,) if whole is not None else self.machine.encode(data)).tobytes()
+        if len(piece) <= 64 and len(self) < 2 * MAX_PIECES:  # one long text may hold more pieces
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, path: str, pattern: str):
         import regex
@@ -259,28 +289,13 @@ class Codec:
         self.machine, self.decoder = Transducer(self.ranks), Decoder(self.ranks)
         self.findall = regex.compile(pattern).findall
         # Pieces seen lately, and those of the time before; frequent ones move from the old to the new.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            data = piece.encode()
-            whole = self.ranks.rank.get(data)
-            ids = (whole,) if whole is not None else self.machine.encode(data)
-        if len(piece) <= 64:
-            if len(self.known) >= MAX_PIECES:
-                self.known, self.older = {}, self.known
-            self.known[piece] = ids
-        return ids
+        self.known = Pieces(self.ranks, self.machine, {})
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.findall(text)
-        found = list(map(self.known.get, pieces))
-        for at, ids in enumerate(found):
-            if ids is None:
-                found[at] = self.known.get(pieces[at]) or self.piece(pieces[at])
-        return np.fromiter(chain.from_iterable(found), "<u4")
+        if len(self.known) >= MAX_PIECES:
+            older, self.known.older = self.known, {}
+            self.known = Pieces(self.ranks, self.machine, older)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.findall(text))), np.uint32).astype("<u4", copy=False)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
