@@ -316,9 +316,10 @@ def removal(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     several = shared.where("several").groupBy("anchor", "context")
     contexts = stored(several.agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")))
     many = stored(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST_MERGED).select("anchor"))
+    # A merge join, as Spark splits a very common context there alone.
     again = contexts.where("n > 1").select("anchor", "context")
     whole = shared.where("NOT several").select("src", "size", "place", "before", "after").unionByName(
-        shared.where("several").join(again, ["anchor", "context"], "left_semi").select("src", "size", "place", "before", "after")
+        shared.where("several").join(again.hint("merge"), ["anchor", "context"], "left_semi").select("src", "size", "place", "before", "after")
     )
     whole = whole.select("src", "size", span(F.col("place"), F.col("before"), F.col("after")).alias("range"))
     ask = F.struct("anchor", "one.place", "one.before", "one.after", F.col("hot").isNotNull().alias("hot"))
