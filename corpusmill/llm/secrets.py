@@ -1,8 +1,12 @@
 """Secret scans in DataFrame functions only.
 
 Named patterns give the base spans. Further spans come from two character Markov
-models, one of random strings and one of ordinary identifiers: a run of token
-characters is a secret if its log-likelihood ratio is high enough.
+models, one of random strings and one of ordinary identifiers: a run of 20 or
+more token characters with a digit is a secret if the log-likelihood ratio of any
+part of it is high enough. Shorter runs and runs of letters alone aren't judged.
+
+All is linear in the text and its matches, but for a logarithm in the number of
+matches.
 """
 
 from __future__ import annotations
@@ -93,13 +97,28 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def log_ratio(token: Column, weights: list[float]) -> Column:
-    """Log-likelihood ratio of a token of the run's characters."""
-    coded, table_ = symbols(token), F.lit([float(w) for w in weights])
-    alphabet = F.lit(SYMBOLS)
-    place = lambda i: F.instr(alphabet, F.substr(coded, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
+    """Highest log-likelihood ratio of any part of a token of the run's characters, in one pass over it."""
+    alphabet, table_ = F.lit(SYMBOLS), F.lit([float(w) for w in weights])
+    codes = F.transform(F.split(symbols(token), ""), lambda c: F.instr(alphabet, c) - 1)
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
+
+    def step(state: Column, code: Column) -> Column:
+        gain = F.coalesce(F.get(table_, state["last"] * len(SYMBOLS) + code), F.lit(0.0))
+        now = F.greatest(state["now"] + gain, F.lit(0.0))
+        return F.struct(code.alias("last"), now.alias("now"), F.greatest(state["best"], now).alias("best"))
+
+    return F.aggregate(codes, zero, step, lambda state: state["best"])
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of each prefix of an array, in passes of doubled reach; each pass makes one array of the same size."""
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1))
     return F.aggregate(
-        steps, F.lit(0.0), lambda sum_, i: sum_ + F.get(table_, (place(i) - 1) * len(SYMBOLS) + place(i + 1) - 1)
+        F.coalesce(passes, F.array().cast("array<int>")),
+        values,
+        lambda sums, k: F.transform(
+            sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))
+        ),
     )
 
 
@@ -109,43 +128,56 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     The texts between the matches give their places.
     """
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    kind_of = "array<struct<start:int,kind:int,end:int,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("found"))
-    parts = F.transform(
+    ends = running_sums(
+        F.zip_with(F.slice(between, 1, F.size(between) - 1), hits, lambda gap, hit: F.length(gap) + F.length(hit))
+    )
+    found = F.zip_with(
+        ends,
         hits,
-        lambda hit, i: F.struct(
-            F.length(F.get(between, i)).alias("gap"), F.length(hit).alias("size"), F.get(values, i).alias("value")
+        lambda end, hit: F.struct(
+            (end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
+            (F.regexp_extract(hit, pattern, group) if group else hit).alias("value"),
         ),
-    )
+    )
+    kind_of = "array<struct<start:int,kind:int,end:int,value:string>>"
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(kind_of))
 
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + part["gap"]
-        end = start + part["size"]
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
-    found = F.aggregate(parts, zero, add, lambda state: state["found"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(kind_of))
+def is_secret(hit: Column, kind: int) -> Column:
+    """Whether a match of a base pattern counts."""
+    return F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_VALUE if kind == 0 else F.lit(True)
+
+
+def replaced(text: Column, pattern: str, chosen, by) -> Column:
+    """The text with `by(match)` in place of every match that is chosen."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # The last text between matches has none behind it.
+    one = lambda gap, hit: F.when(hit.isNull(), gap).otherwise(F.concat(gap, F.when(chosen(hit), by(hit)).otherwise(hit)))
+    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(F.zip_with(F.split(text, pattern, -1), hits, one), "")).otherwise(text)
+
+
+BASE = ((0, ASSIGN), (1, ACCESS), (2, HEX))
 
 
 def find(df: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
     """`df` with `secret_base` and `secret_all`: arrays of (start, kind, end) by start, then kind.
 
     A null text has no spans, like an empty one. Matches of different patterns
-    may overlap; a run that the models judge is left out where a base span
-    already touches it. New columns replace existing ones of the same name.
+    may overlap. The models judge the runs of what base matches leave: these are
+    blanked first, so the rest of a run that a match takes a part of is judged by
+    itself. New columns replace existing ones of the same name.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"], x["kind"], x["end"]))
     assigned = F.filter(spans(body, ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(bare(assigned), bare(spans(body, ACCESS, 1)), bare(spans(body, HEX, 2))))
-    runs = F.filter(
-        spans(body, RUN, 3),
-        lambda x: (log_ratio(x["value"], weights) >= LEAST)
-        & ~F.exists(F.col("secret_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    blank = body
+    for kind, pattern in BASE:
+        blank = replaced(blank, pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.repeat(F.lit(" "), F.length(hit)))
     out = df.withColumn("secret_base", base)
+    # Few texts have a base match; the others are judged as they are.
+    out = out.withColumn("secret_all", F.when(F.size("secret_base") > 0, blank).otherwise(body))
+    runs = F.filter(spans(F.col("secret_all"), RUN, 3), lambda x: log_ratio(x["value"], weights) >= LEAST)
     return out.withColumn("secret_all", F.array_sort(F.concat(F.col("secret_base"), bare(runs))))
 
 
@@ -162,29 +194,24 @@ def joined(found: Column) -> Column:
 
 
 def redact(df: DataFrame, weights: list[float], mark: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """`df` with every secret of its texts replaced by a mark; overlapping spans by one."""
-    found = find(df, weights, text)
+    """`df` with a mark in place of every secret of its texts, kind after kind, then of the runs that the models judge.
+
+    Where matches overlap, the rest of the later one is masked if it is a match
+    or a secret by itself. A null text stays null.
+    """
     body = F.col(f"`{text}`")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(state: Column, span: Column) -> Column:
-        gap = F.substr(body, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        fresh = F.concat(state["out"], gap, F.lit(mark))
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(span["start"] < state["at"], state["out"]).otherwise(fresh).alias("out"),
-        )
-
-    clean = F.aggregate(
-        F.col("secret_all"), zero, add, lambda state: F.concat(state["out"], F.substr(body, state["at"] + 1))
-    )
-    return found.withColumn(text, F.when(F.size("secret_all") > 0, clean).otherwise(body)).drop(
-        "secret_base", "secret_all"
-    )
+    for kind, pattern in BASE:
+        body = replaced(body, pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.lit(mark))
+    body = replaced(body, RUN, lambda hit: log_ratio(hit, weights) >= LEAST, lambda hit: F.lit(mark))
+    return df.withColumn(text, body)
 
 
 def scan(df: DataFrame, weights: list[float], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of `df`: counts of the base kinds, the digest of the base spans, and all spans."""
+    """Per row of `df`: counts of the base kinds, the digest of the base spans, and all spans.
+
+    A null or empty text has counts of 0, the digest of nothing and no spans. A
+    null key stays null, and repeated rows give equal rows.
+    """
     found = find(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")), weights)
     n = lambda kind: F.size(F.filter(F.col("secret_base"), lambda x: x["kind"] == kind)).cast("bigint")
     return found.select(
