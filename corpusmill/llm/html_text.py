@@ -3,7 +3,9 @@
 A page is cut into flat blocks at block-level tags. A block's features are its
 word count and link density, those of its neighbours, whether it is a heading,
 and the zone that its nearest telling ancestor makes. A decision tree, trained on
-the labelled table below, says which blocks are the article.
+the labelled table below, says which blocks are the article. On pages whose
+elements tell nothing the densities alone decide; where elements do tell, e.g. of
+comments, which don't differ from an article by density, the zone comes first.
 """
 
 from __future__ import annotations
@@ -39,6 +41,15 @@ AROUND = set(
     "form widget contentinfo complementary toolbar pagination pager copyright".split()
 )
 ARTICLE = set("article articlebody content entry post story main maintext".split())
+#: Words that may stand beside one of these in a name, as in "ad-slot" or "site-header"; beside any other word it names nothing.
+BESIDE = set(
+    "area bar bars block body bottom box btn button col column container content cookie data entry float fixed full global group "
+    "head hidden holder id inner item items js left level link links list main menu mini mobile module msg nav off on out outer "
+    "page panel post primary right row secondary section sections side site slot small sticky sub text thread title top "
+    "unit ui view wrap wrapper zone".split()
+) | AROUND | ARTICLE
+#: Elements of a page's head; any other ends it.
+OF_HEAD = {"head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*+)(?:>|\Z)",
@@ -73,7 +84,12 @@ LABELLED = [
     (4, 1.0, 0, 0, 3, 1.0, 5, 1.0, 0), (2, 1.0, 0, 0, 0, 0.0, 2, 1.0, 0), (6, 0.9, 0, 0, 60, 0.0, 4, 1.0, 0),
     (3, 0.0, 0, 0, 2, 1.0, 4, 1.0, 0), (9, 0.0, 0, 0, 4, 1.0, 6, 0.0, 0), (7, 0.0, 0, 0, 5, 0.0, 0, 0.0, 0),
     (15, 0.8, 0, 0, 12, 0.9, 8, 1.0, 0), (30, 0.7, 0, 0, 9, 1.0, 5, 1.0, 0), (4, 0.0, 0, 1, 3, 1.0, 3, 1.0, 0),
-    (10, 0.4, 0, 0, 3, 1.0, 2, 0.0, 0), (6, 0.0, 0, 0, 3, 0.0, 4, 0.0, 0), (20, 0.9, 0, 0, 40, 0.0, 18, 0.9, 0),
+    (10, 0.4, 0, 0, 3, 1.0, 2, 0.0, 0), (6, 0.9, 0, 0, 3, 0.0, 4, 0.0, 0), (20, 0.9, 0, 0, 40, 0.0, 18, 0.9, 0),
+    (5, 0.0, 0, 0, 30, 0.0, 10, 0.0, 1), (2, 0.0, 0, 0, 2, 0.0, 2, 0.0, 1), (2, 0.0, 0, 0, 88, 0.0, 20, 0.0, 1), (8, 0.0, 0, 0, 5, 0.0, 14, 0.0, 1),
+    (6, 0.0, 0, 1, 8, 0.0, 20, 0.0, 1), (10, 0.0, 0, 1, 5, 0.0, 12, 0.0, 1), (3, 0.0, 0, 0, 16, 0.0, 12, 0.0, 1), (1, 0.0, 0, 0, 40, 0.0, 8, 0.0, 1),
+    (9, 0.0, 0, 1, 6, 0.0, 9, 0.0, 1), (4, 0.0, 0, 0, 3, 0.0, 20, 0.0, 1), (7, 0.0, 0, 0, 1, 1.0, 10, 0.0, 0), (5, 0.0, 0, 0, 1, 1.0, 8, 0.0, 0),
+    (6, 0.0, 0, 0, 3, 1.0, 12, 0.0, 0), (11, 0.0, 0, 0, 1, 1.0, 4, 0.0, 0), (20, 0.0, 0, 0, 6, 0.0, 0, 0.0, 0), (12, 0.0, 0, 0, 30, 0.0, 0, 0.0, 0),
+    (27, 0.0, 0, 0, 27, 0.0, 0, 0.0, 1), (32, 0.0, 0, 0, 45, 0.0, 0, 0.0, 1), (26, 0.0, 0, 0, 20, 0.0, 0, 0.0, 1),
 ]
 
 
@@ -88,7 +104,7 @@ class Node:
     high: "Node | None" = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
     """A tree that splits where Gini impurity falls most; ties go to the first feature and the least limit."""
     node = Node(float(y.mean()))
     if depth == 0 or node.share in (0.0, 1.0):
@@ -130,26 +146,60 @@ class Block:
     heading: int
 
 
+def _names(value: str, known: set[str]) -> bool:
+    """Whether one of the names in a class, id or role holds a known word, and else only words that may stand beside it."""
+    for name in value.split():
+        parts = {p.lower() for p in _PARTS.findall(name)}
+        if parts & known and parts <= BESIDE:
+            return True
+    return False
+
+
 def _zone(tag: str, attributes: str, inside: int) -> int | None:
     """Zone that an element makes; None if it tells nothing."""
-    for kind, *values in _NAMES.findall(attributes):
-        names = {p.lower() for p in _PARTS.findall("".join(values))}
-        if names & AROUND:
+    for _, *values in _NAMES.findall(attributes):
+        name = "".join(values)
+        if _names(name, AROUND):
             # A frame named after one of its parts, e.g. "content sidebar-left", is still no sidebar if it says article.
             return 1 if tag in ("article", "main") else -1
-        if names & ARTICLE and kind.lower() != "id" and tag in ("div", "section", "td"):
+        if tag in ("div", "section", "td") and _names(name, ARTICLE):
             return 1
     if tag == "header" and inside > 0:
         return None  # an article's own heading
     return ZONES.get(tag)
 
 
+class _Ends:
+    """Whether a silent element is closed, by looking ahead; no part of the page is looked at twice for one tag."""
+
+    def __init__(self, page: str):
+        self.page, self.seen = page, {}
+
+    def closed(self, tag: str, at: int) -> bool:
+        """Whether the next tag of this name from `at` on closes it, or, of elements that nest, any does."""
+        start, end, closing = self.seen.get(tag, (0, -1, False))
+        if at < start or at > end:
+            nested = "" if tag in ("button", "select") else "/"
+            found = re.compile(rf"<(/?){re.escape(tag)}\b" if not nested else rf"<(/){re.escape(tag)}\b", re.I).search(self.page, at)
+            start, end, closing = at, found.start() if found else len(self.page), bool(found and found[1])
+            self.seen[tag] = (start, end, closing)
+        return closing
+
+
 def blocks(page: str) -> list[Block]:
-    """Flat text blocks of a page in order, without silent elements."""
+    """Flat text blocks of a page in order, without silent elements.
+
+    A silent element that isn't closed ends at the next block; the head ends at
+    the first element that can't be in it. What an inline element named after a
+    page's surroundings holds is left out, and the block goes on behind it.
+    """
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, int | None]] = []
-    silent, links, heading, zone, at = 0, 0, 0, 0, 0
+    ends = _Ends(page)
+    silent: list[tuple[str, bool]] = []  # open silent elements, and whether they are closed
+    aside = 0  # open inline elements within one that is left out
+    in_head, links, heading, zone, at = False, 0, 0, 0, 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
@@ -165,40 +215,54 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         token = _TOKEN.search(page, at)
         stop = token.start() if token else len(page)
-        if stop > at and not silent:
-            parts.append((page[at:stop], links > 0))
+        if stop > at and not silent and not aside:
+            if in_head and not page[at:stop].isspace():
+                in_head = False
+            if not in_head:
+                parts.append((page[at:stop], links > 0))
         if not token:
             break
         at = token.end()
         closing, tag, attributes = token[1], (token[2] or "").lower(), token[3] or ""
         if not tag:
             continue
+        if tag == "head":
+            in_head = not closing
+            continue
+        if in_head and tag not in OF_HEAD:
+            in_head = False
         if tag in RAW and not closing and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            # Without an end it is taken for empty, but for scripts and styles, which are no text.
+            at = end.end() if end else len(page) if tag in ("script", "style") else at
             continue
         if tag in SILENT:
-            silent = max(0, silent + (-1 if closing else not attributes.endswith("/")))
+            if closing:
+                while silent and silent.pop()[0] != tag:
+                    pass
+            elif not attributes.endswith("/"):
+                silent.append((tag, ends.closed(tag, at)))
+            continue
+        if tag in BLOCKS and tag != "option" and silent and not all(closed for _, closed in silent):
+            silent = [x for x in silent if x[1]]
+        if silent:
             continue
-        if tag == "body":
-            silent = 0
         if tag == "a":
             links = 0 if closing else 1
             continue
         if tag == "br":
-            if not silent:
-                parts.append((" ", links > 0))
+            parts.append((" ", links > 0))
             continue
         if tag not in BLOCKS:
-            if not closing and tag not in VOID and _zone(tag, attributes, zone) == -1:
-                stack.append((tag, -1))
-            elif closing and stack and stack[-1][0] == tag:
-                close()
-                stack.pop()
-            else:
+            if tag in VOID or attributes.endswith("/"):
                 continue
-            zone = inner_zone()
+            if aside:
+                aside += -1 if closing else 1
+            elif not closing and _zone(tag, attributes, zone) == -1 and ends.closed(tag, at):
+                aside = 1
+                parts.append((" ", links > 0))
             continue
+        aside = 0
         close()
         links = 0
         heading = int(tag in HEADINGS and not closing)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -229,6 +230,47 @@ def test_what_stands_around_goes():
     assert html_text.main_text(page, html_text.trained()) == "My title\nFirst with a link é text.\nSecond line\none\ntwo"
 
 
+def test_articles_without_telling_elements(spark, sf_dir):
+    """With every element that names its zone turned into a plain one, densities find the same articles."""
+    tree = html_text.trained()
+    for r in common.table(spark, sf_dir, "pages").collect():
+        plain = re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", r.html.replace('<div class="ad">', "<div>"))
+        assert {b.zone for b in html_text.blocks(plain)} == {0}
+        assert html_text.main_text(plain, tree) == html_text.main_text(r.html, tree)
+
+
+LINE = "A paragraph that is long enough, and without any link, to be a part of an article of whatever kind it may be."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>Hello all <span class="notice">x</span> more words</p></article>', "Hello all more words"),
+        ('<article><p>we are <em class="ad-free">free of ads</em> today</p></article>', "we are free of ads today"),
+        ("<html><head><title>t</title><body><article><p>one two three</p></article>", "one two three"),
+        (f"<html><head><title>t</title><p>{LINE}</p><p>{LINE} It ends here, or so it seems to me.</p>", f"{LINE}\n{LINE} It ends here, or so it seems to me."),
+        ("<article><p>before <button>Push</p><p>after</p></article>", "before\nafter"),
+        ("<article><p>a</p><select><option>x<option>y</select><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><select><option>x<option>y<p>b</p></article>", "a\nb"),
+        ("<article><p>x<button>one<p>y<button>two</button>z</article>", "x\nyz"),
+        ('<article><section class="search-engines"><p>About engines</p></section></article>', "About engines"),
+        ('<div id="content"><p>two short</p><p>lines here</p></div>', "two short\nlines here"),
+        ('<div class="site-header">x</div><div class="content"><p>t u</p><div class="comment-list"><p>no</p></div></div><div class="ad-slot">buy</div>', "t u"),
+        ("<article><p>1 < 2 &amp; 3 &gt; 2</p><textarea>no", "1 < 2 & 3 > 2\nno"),
+    ],
+)
+def test_odd_markup_loses_no_text(page, want):
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+def test_unclosed_elements_take_linear_time():
+    page = "<article>" + "<button>a<select>b<p>word</p>" * 20_000
+    began = time.time()
+    assert html_text.main_text(page, html_text.trained()).count("word") == 20_000
+    assert time.time() - began < 20
+
+
+
 # --- token counts ---
 
 
