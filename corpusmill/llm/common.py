@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import forget, stored
 
-__all__ = ["BATCH_ROWS", "forget", "per_text", "small_batches", "stored", "table"]
+__all__ = ["BATCH_ROWS", "arrow_schema", "forget", "per_text", "small_batches", "stored", "table"]
 
 #: Rows in one Arrow batch. Texts may be very long, so batches hold few rows.
 BATCH_ROWS = 256
@@ -39,7 +39,7 @@ def per_text(
     """
     small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    target = _arrow_schema(df.sparkSession, f"`{key}` {kind}, {schema}")
+    target = arrow_schema(df.sparkSession, f"`{key}` {kind}, {schema}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +55,7 @@ def per_text(
     return source.mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(spark.createDataFrame([], ddl).schema)

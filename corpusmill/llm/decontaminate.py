@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import per_text, small_batches, table
+from .common import arrow_schema, per_text, small_batches, stored, table
 from .rolling import window_hashes
 
 #: Characters in a q-gram; edits allowed for each character of a passage.
@@ -42,12 +42,16 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.codes = [], []
+        #: Passages too short for a q-gram; they have no edits to spare, and are looked up as they are.
+        self.short: list[tuple[int, str]] = []
         for item, text in items:
-            found = codes(normal(text))
-            # Shorter ones have no q-gram, and so name no passage.
+            passage = normal(text)
+            found = codes(passage)
             if len(found) >= Q:
                 self.ids.append(item)
                 self.codes.append(found)
+            elif passage:
+                self.short.append((item, passage))
         self.size = np.array([len(c) for c in self.codes], "i8")
         # At least one shared q-gram must be asked for.
         self.edits = np.minimum((self.size * EDITS).astype("i8"), (self.size - Q) // Q)
@@ -141,7 +145,8 @@ class Passages:
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item, edits, start, end) of the best place of each passage that it holds."""
-        bodies = [codes(normal(t)) for t in texts]
+        plain = [normal(t) for t in texts]
+        bodies = [codes(t) for t in plain]
         gap = np.full(1, OUTSIDE, "u4")
         starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
         every = np.concatenate([part for b in bodies for part in (b, gap)]) if bodies else gap
@@ -154,7 +159,13 @@ class Passages:
                 found = self.align(bodies[t], item, low - shift, high - shift)
                 if found and (item not in best[t] or found < best[t][item]):
                     best[t][item] = found
-        return [[(self.ids[i], *b[i]) for i in sorted(b)] for b in best]
+        found = [[(self.ids[i], *b[i]) for i in sorted(b)] for b in best]
+        for t, body in enumerate(plain):
+            for item, passage in self.short:
+                at = body.find(passage)
+                if at >= 0:
+                    found[t].append((item, 0, at, at + len(passage)))
+        return found
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -169,13 +180,14 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def passage_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
-    """The passages in blocks of at most about BLOCK_CHARS characters, by a hash of their id."""
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(item, text)
-    chars = rows.agg(F.sum(F.length(text))).first()[0] or 0
+def passage_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The passages in blocks of at most about BLOCK_CHARS characters, by a hash; one after the other, at least one."""
+    rows = benchmark.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // BLOCK_CHARS))
-    of = F.pmod(F.xxhash64(item), F.lit(n))
-    return [sorted((r[0], r[1]) for r in rows.where(of == b).collect()) for b in range(n)]
+    of = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    for b in range(n):
+        yield sorted(((r[0], r[1]) for r in rows.where(of == b).collect()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
 
 
 def contaminated(
@@ -184,15 +196,18 @@ def contaminated(
     """(key, item_id, edits, start, end) for every row and passage that its whole text holds.
 
     Places are code points of the text after `normal`. Null and empty texts hold
-    none, and a null or too short passage is held by none. Repeated rows give
-    repeated rows. The passages are a query set: each block of them is compared
-    with all rows.
+    none, and a null or empty passage is held by none. A passage too short for a
+    q-gram is held without edits. A passage with a null id is reported under
+    null, and repeated passages and rows give repeated rows. Ids and keys keep
+    their types. The passages are a query set: each block of them is compared
+    with all rows; the driver holds one block at a time.
     """
     small_batches(df.sparkSession)
     source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text") != "")
     kind = df.schema[key].dataType.simpleString()
     item_kind = benchmark.schema[item].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id {item_kind}, edits int, start bigint, end bigint"
+    target = arrow_schema(df.sparkSession, schema)
 
     def of_block(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,23 +219,33 @@ def contaminated(
                     for k, found in zip(keys[at:end], passages.matches(texts[at:end])):
                         rows += [(k, *m) for m in found]
                 if rows:
-                    names = [key, "item_id", "edits", "start", "end"]
-                    kinds = [batch.schema.field(0).type, pa.array([rows[0][1]]).type, pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
         return source.mapInArrow(run, schema)
 
-    blocks = [of_block(b) for b in passage_blocks(benchmark, item)]
-    found = blocks[0]
-    for other in blocks[1:]:
-        found = found.unionByName(other)
+    found = None
+    for block, last in with_last(passage_blocks(benchmark, item)):
+        part = of_block(block) if last else stored(of_block(block))
+        found = part if found is None else found.unionByName(part)
     return found
 
 
+def with_last(items: Iterator) -> Iterator[tuple]:
+    """Each item with whether it is the last."""
+    held = next(items)
+    for item in items:
+        yield held, False
+        held = item
+    yield held, True
+
+
 def flagged(
     df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id"
 ) -> DataFrame:
-    """(key, contaminated) for every row: whether its whole text holds any passage. See `contaminated` for odd cases."""
+    """(key, contaminated) for every row: whether its whole text holds any passage, with or without an id.
+
+    See `contaminated` for odd cases.
+    """
 
     def of_block(block: list[tuple[int, str]]):
         def work(texts: list[bytes]) -> list[tuple]:
@@ -230,19 +255,20 @@ def flagged(
 
         return work
 
-    blocks = passage_blocks(benchmark, item)
-    if len(blocks) == 1:
-        return per_text(df, of_block(blocks[0]), "contaminated boolean", key, text)
-    # A block after the other, each over the rows as they are; the flags are carried along.
+    # A block after the other; what is known of the rows is carried along.
     rows = df.select(F.struct(F.col(f"`{key}`").alias("key"), F.lit(False).alias("held")).alias("row"), F.col(f"`{text}`").alias("text"))
-    for block in blocks:
+    for block, last in with_last(passage_blocks(benchmark, item)):
+        if last:
+            found = per_text(rows, of_block(block), "hit boolean", "row", "text")
+            return found.select(F.col("row.key").alias(key), (F.col("row.held") | F.col("hit")).alias("contaminated"))
         carried = rows.select(F.struct("row", "text").alias("row"), "text")
         found = per_text(carried, of_block(block), "hit boolean", "row", "text")
-        rows = found.select(
-            F.struct(F.col("row.row.key").alias("key"), (F.col("row.row.held") | F.col("hit")).alias("held")).alias("row"),
-            F.col("row.text").alias("text"),
+        rows = stored(
+            found.select(
+                F.struct(F.col("row.row.key").alias("key"), (F.col("row.row.held") | F.col("hit")).alias("held")).alias("row"),
+                F.col("row.text").alias("text"),
+            )
         )
-    return rows.select(F.col("row.key").alias(key), F.col("row.held").alias("contaminated"))
 
 
 _INDEX: dict[int, Passages] = {}

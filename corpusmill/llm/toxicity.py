@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
 Training counts in how many toxic and clean texts each word and each word
-beginning stands, and takes their log-odds ratio with a Dirichlet prior. A text
-is scanned once: words with a weight raise the running score, all others lower
-it, and the scan yields every maximal-scoring segment. How often clean texts have
-segments of a score gives the extreme-value tail that turns a text's segments
-into a probability.
+beginning stands, and takes their log-odds ratio with a Dirichlet prior, less
+what chance may add to it. A text is scanned once: every word adds its log-odds
+to the running score, less a cost that makes the score of clean text fall, and
+the scan yields every maximal-scoring segment. How often clean texts have
+segments of a score gives the extreme-value tail that says which segments are
+significant, and turns all segments of a text into a probability.
 """
 
 from __future__ import annotations
@@ -20,20 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import per_text, small_batches, table
+from .common import forget, per_text, small_batches, stored, table
 
 #: Labelled rows that the weights, and of these the rows that the tail, are fitted on, by a hash of their id.
 TRAIN_ROWS, TAIL_ROWS = 40_000, 10_000
-#: Weights kept at most, those of the highest z-score, and as many exceptions.
-MAX_WEIGHTS = 50_000
-#: Strength of the prior as a share of the texts; least texts, z-score and size of a weight.
-PRIOR_SHARE, LEAST_TEXTS, LEAST_Z, LEAST_WEIGHT = 0.025, 5, 3.0, 1.5
-#: Clean texts with a word from which on its beginning's weight no longer holds for it.
-PLAIN_TEXTS = 3
-#: Lengths of word beginnings, longest first; what a word without a weight adds to the score.
-BEGINNINGS, BACKGROUND = (6, 5, 4), -0.25
-#: Segments whose evidence is summed at most; entries of a worker's caches.
-MOST_SEGMENTS, CACHE = 20, 300_000
+#: Strength of the prior as a share of the texts; least texts of a weight; standard errors that a weight is lessened by.
+PRIOR_SHARE, LEAST_TEXTS, ERRORS = 0.025, 5, 1.5
+#: Lengths of word beginnings, longest first; what every word costs.
+BEGINNINGS, COST = (6, 5, 4), 0.25
+#: Least score of a segment; chance segments of a clean text of its length at which one is no longer significant.
+LEAST_SCORE, SIGNIFICANT = 1.0, 0.01
+#: Entries of a worker's caches.
+CACHE = 300_000
 
 _WORDS = re.compile(r"\w+")
 
@@ -55,7 +54,7 @@ class Model:
     """Weights of words and beginnings, and the tail that clean texts' segments follow."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    #: Segments for each word of clean texts, fall of their log-number with the score, evidence at which a score is 0.5.
+    #: Segments for each word of clean texts, fall of their log-number as the score rises, evidence at which a score is 0.5.
     rate: float = 1e-6
     decay: float = 1.0
     threshold: float = 3.0
@@ -66,18 +65,14 @@ class Model:
     def weight(self, word: str) -> float:
         found = self.weights.get(word)
         if found is None:
-            for n in BEGINNINGS:
-                if len(word) > n and (found := self.weights.get(word[:n] + "*")) is not None:
-                    break
-            else:
-                found = BACKGROUND
+            found = next((w for n in BEGINNINGS if len(word) > n and (w := self.weights.get(word[:n] + "*")) is not None), 0.0)
         if len(self._known) >= CACHE:
             self._known.clear()
-        self._known[word] = found
+        found = self._known[word] = found - COST
         return found
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """(first word, word after the last, score) of all maximal-scoring segments, in order."""
+        """(first word, word after the last, score) of all maximal-scoring segments from LEAST_SCORE up, in order."""
         scores = list(map(self._known.get, words))
         for at, score in enumerate(scores):
             if score is None:
@@ -86,21 +81,27 @@ class Model:
         values = np.array(scores, "f8")
         if not len(values) or values.max() <= 0:
             return []
-        return maximal_segments(values)
+        return [x for x in maximal_segments(values) if x[2] >= LEAST_SCORE]
+
+    def chance(self, score: float, n_words: int) -> float:
+        """Segments of this score or more that a clean text of this length has on average."""
+        return self.rate * max(n_words, 1) * math.exp(-self.decay * (score - LEAST_SCORE))
 
     def evidence(self, scores: list[float], n_words: int) -> float:
         """Minus the log-probability that a clean text of this length has segments of such scores.
 
-        The r best segments count together; the best r is taken.
+        The number of segments from a score up is Poisson in clean texts. For each
+        r the r-th best score tells how unlikely r such segments are; the
+        unlikeliest r counts, at the price of having been chosen from all.
         """
-        base = math.log(self.rate * max(n_words, 1))
-        best = total = 0.0
-        for r, score in enumerate(sorted(scores, reverse=True)[:MOST_SEGMENTS], 1):
-            total += score
-            joint = self.decay * total - r * base
-            log_p = -joint + (r - 1) * math.log(max(joint, 1.0)) - math.lgamma(r + 1) - math.lgamma(r)
-            best = max(best, -log_p - (r - 1) * math.log(2))
-        return best
+        if not scores:
+            return 0.0
+        r = np.arange(1, len(scores) + 1)
+        mean = np.maximum(self.rate * max(n_words, 1) * np.exp(-self.decay * (np.sort(scores)[::-1] - LEAST_SCORE)), 1e-300)
+        # Tail of the Poisson distribution: its first term, and a geometric bound of the rest.
+        rest = np.where(mean < r + 1, np.log1p(-np.minimum(mean / (r + 1), 0.999)), 0.0)
+        log_p = np.where(mean < r, r * np.log(mean) - mean - np.cumsum(np.log(r)) - rest, 0.0)
+        return float(np.maximum(-log_p - np.log(r * (r + 1) / 2), 0.0).max())
 
     def score(self, scores: list[float], n_words: int) -> float:
         return 1 / (1 + math.exp(min(self.threshold - self.evidence(scores, n_words), 700)))
@@ -199,37 +200,35 @@ def log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     odds = lambda n, total: (n + prior) / F.greatest(F.lit(total + mass) - n - prior, F.lit(0.5))
     weight = F.log(odds(F.col("n_toxic"), n_toxic)) - F.log(odds(F.col("n_clean"), n_clean))
     spread = F.sqrt(1 / (F.col("n_toxic") + prior) + 1 / (F.col("n_clean") + prior))
-    return counts.select("feature", "n_toxic", "n_clean", weight.alias("weight"), (weight / spread).alias("z"))
+    sure = F.signum(weight) * F.greatest(F.abs(weight) - ERRORS * spread, F.lit(0.0))
+    return counts.select("feature", "n_toxic", "n_clean", sure.alias("weight"))
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Fit a model on bounded samples of labelled rows. Without labels of both kinds it calls nothing toxic."""
     counts = feature_counts(training_rows(df, labels, TRAIN_ROWS, text, key))
-    counts = counts.where((F.col("n_toxic") + F.col("n_clean") >= LEAST_TEXTS) | (F.col("feature") == ""))
-    counts = counts.persist()
+    counts = stored(counts.where((F.col("n_toxic") + F.col("n_clean") >= LEAST_TEXTS) | (F.col("feature") == "")))
     total = counts.where("feature = ''").first()
     if total is None or not total["n_toxic"] or not total["n_clean"]:
-        counts.unpersist()
+        forget(counts)
         return Model(threshold=50.0)
     scored = log_odds(counts.where("feature != ''"), total["n_toxic"], total["n_clean"])
-    strong = (F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT)
-    chosen = scored.where(strong).orderBy(F.desc("z"), "feature").limit(MAX_WEIGHTS)
-    weights = {r["feature"]: r["weight"] for r in chosen.select("feature", "weight").collect()}
-    # Words and longer beginnings that clean texts use, though a chosen beginning covers them.
+    # No more features than the sample of labelled rows has.
+    telling = scored.where("weight != 0")
+    weights = {r["feature"]: r["weight"] for r in telling.select("feature", "weight").collect()}
+    # Words and longer beginnings that tell nothing, though a telling beginning covers them.
     begun = F.array(*[F.concat(F.substring("feature", 1, n), F.lit("*")) for n in BEGINNINGS])
-    plain = (
-        scored.where(~strong & (F.col("n_clean") >= PLAIN_TEXTS))
-        .select("feature", "n_clean", F.explode(begun).alias("begun"))
+    silent = (
+        scored.where("weight = 0")
+        .select("feature", F.explode(begun).alias("begun"))
         .where("begun != feature")
-        .join(F.broadcast(chosen.select(F.col("feature").alias("begun"))), "begun", "left_semi")
-        .groupBy("feature")
-        .agg(F.max("n_clean").alias("n_clean"))
-        .orderBy(F.desc("n_clean"), "feature")
-        .limit(MAX_WEIGHTS)
+        .join(telling.select(F.col("feature").alias("begun")), "begun", "left_semi")
+        .select("feature")
+        .distinct()
     )
-    weights |= {r["feature"]: BACKGROUND for r in plain.collect()}
+    weights |= {r["feature"]: 0.0 for r in silent.collect()}
+    forget(counts)
     model = Model(weights)
-    counts.unpersist()
 
     # The tail: segments of at most TAIL_ROWS training texts.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +236,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             rows = []
             for body, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(body)
-                best = sorted((s for *_, s in model.segments(words)), reverse=True)[:MOST_SEGMENTS]
-                rows.append((flag, len(words), best))
+                rows.append((flag, len(words), [s for *_, s in model.segments(words)]))
             kinds = [pa.bool_(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["toxic", "n", "scores"])
 
@@ -248,9 +246,9 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     found = [s for r in clean for s in r["scores"]]
     # One segment of an average weight is taken as seen beforehand, so that neither figure is 0.
     rises = [w for w in model.weights.values() if w > 0]
-    usual = sum(rises) / len(rises) if rises else 1.0
+    usual = max(sum(rises) / len(rises) if rises else 1.0, 0.1)
     model.rate = (len(found) + 0.5) / (sum(r["n"] for r in clean) + 1)
-    model.decay = (len(found) + 1) / (sum(found) + usual)
+    model.decay = (len(found) + 1) / (sum(s - LEAST_SCORE for s in found) + usual)
     evidence = [(model.evidence(r["scores"], r["n"]), r["toxic"]) for r in seen]
     model.threshold = best_threshold(evidence)
     return model
@@ -281,7 +279,8 @@ def best_threshold(rows: list[tuple[float, bool]]) -> float:
 def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, predicted, passages) of every whole text.
 
-    Passages are word ranges with their scores, in order. Null and empty texts
+    Passages are the word ranges of the significant segments with their scores,
+    in order; the score of a text takes all its segments. Null and empty texts
     have none and the least score. The score depends on the text alone, so
     repeated rows score alike.
     """
@@ -292,7 +291,7 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
             words = words_of(data.decode())
             found = model.segments(words)
             value = model.score([s for *_, s in found], len(words))
-            passages = [{"first": a, "after": b, "score": s} for a, b, s in found]
+            passages = [{"first": a, "after": b, "score": s} for a, b, s in found if model.chance(s, len(words)) <= SIGNIFICANT]
             rows.append((value, int(value >= 0.5), passages))
         return rows
 
