@@ -1,7 +1,8 @@
 """License scans by template matching.
 
-A template is a wording with markup: `[[ ... ]]` encloses an optional region and
-`{name:n}` stands for a replaceable one of up to n words. Templates compile into
+A template is a wording with markup: `[[ ... ]]` encloses an optional region,
+`{name:n}` stands for a replaceable one of up to n words and `{name#n}` for one of
+up to n numbers. Templates compile into
 automata over words; a place in a text is accepted if all mandatory words stand
 there, in order, with nothing else between them than the regions allow.
 """
@@ -22,22 +23,59 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-#: (label, wording with markup) of notices and license texts.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+documentation files the {thing:2} to deal in the {thing:2} without restriction including without limitation the rights to
+use copy modify merge publish distribute sublicense and or sell copies of the {thing:2} and to permit persons to whom the
+{thing:2} is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+[[including the next paragraph]] shall be included in all copies or substantial portions of the {thing:2} the {thing:2} is
+provided as is without warranty of any kind express or implied including but not limited to the warranties of
+merchantability fitness for a particular purpose and noninfringement in no event shall {holders:6} be liable for any claim
+damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with
+the {thing:2} or the use or other dealings in the {thing:2}"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the
+following conditions are met {item#1} redistributions of source code must retain the above copyright notice this list of
+conditions and the following disclaimer {item#1} redistributions in binary form must reproduce the above copyright notice
+this list of conditions and the following disclaimer in the documentation and or other materials provided with the
+distribution"""
+_NAMES = """{item#1} neither the name of {holder:10} nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission"""
+_BSD_END = """this software is provided by {holders:8} as is and any express or implied warranties including but not limited
+to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall
+{holders:8} be liable for any direct indirect incidental special exemplary or consequential damages including but not
+limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused
+and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+any way out of the use of this software even if advised of the possibility of such damage"""
+_ISC = """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby
+granted"""
+_ISC_KEEP = "provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_END = """the software is provided as is and {author:6} disclaims all warranties with regard to this software including
+all implied warranties of merchantability and fitness in no event shall {author:6} be liable for any special direct
+indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action
+of contract negligence or other tortious action arising out of or in connection with the use or performance of this
+software"""
+
+#: (label, wording with markup) of whole license texts and of notices that name a license.
 TEMPLATES = [
-    ("mit", "[[released]] [[distributed]] [[licensed]] under the [[terms of the]] mit license"),
+    ("mit", _MIT),
+    ("bsd-2", f"{_BSD} {_BSD_END}"),
+    ("bsd-3", f"{_BSD} {_NAMES} {_BSD_END}"),
+    ("isc", f"{_ISC} {_ISC_KEEP} {_ISC_END}"),
+    ("0bsd", f"{_ISC} {_ISC_END}"),
     (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the {thing:2} to deal in the {thing:2} without restriction including without limitation "
-        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the {thing:2} and to "
-        "permit persons to whom the {thing:2} is furnished to do so subject to the following conditions",
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+        "compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+        "commercial or non commercial and by any means",
     ),
-    ("apache-2", "licensed under the apache license version 2 0 [[the license]]"),
     (
         "apache-2",
         "you may not use {file:4} except in compliance with the license [[you may obtain a copy of the license at "
-        "{address:12}]] unless required by applicable law or agreed to in writing",
+        "{address:12}]] unless required by applicable law or agreed to in writing software distributed under the license "
+        "is distributed on an as is basis without warranties or conditions of any kind either express or implied see the "
+        "license for the specific language governing permissions and limitations under the license",
     ),
+    ("mit", "[[released]] [[distributed]] [[licensed]] under the [[terms of the]] mit license"),
+    ("apache-2", "licensed under the apache license version 2 0 [[the license]]"),
     (
         "gpl-3",
         "[[this work is]] [[this program is]] [[licensed]] [[distributed]] under the [[terms of the]] gnu general "
@@ -46,25 +84,17 @@ TEMPLATES = [
     (
         "gpl-3",
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
-        "the free software foundation either version 3 of the license",
+        "the free software foundation either version 3 of the license [[or at your option any later version]]",
     ),
     ("gpl-2", "under the [[terms of the]] gnu general public license version 2"),
     ("lgpl-3", "under the [[terms of the]] gnu lesser general public license version 3"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "[[released]] licensed under [[a]] [[creative commons]] [[the]] cc by nc {version:2}"),
-    ("cc-by-nc", "creative commons attribution non commercial {version:2} [[international]] license"),
-    ("cc-by", "licensed under [[a]] creative commons attribution {version:2} [[international]] license"),
-    (
-        "bsd-3",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
-    ),
-    (
-        "isc",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-        "granted",
-    ),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc-by-nc", "[[released]] licensed under [[a]] [[creative commons]] [[the]] cc by nc {version#2}"),
+    ("cc-by-nc", "creative commons attribution noncommercial {version#2} [[international]] license"),
+    ("cc-by-nc", "creative commons attribution non commercial {version#2} [[international]] license"),
+    ("cc-by-sa", "creative commons attribution sharealike {version#2} [[international]] license"),
+    ("cc-by-sa", "creative commons attribution share alike {version#2} [[international]] license"),
+    ("cc-by", "licensed under [[a]] [[the]] creative commons attribution {version#2} [[international]] license"),
 ]
 #: Score of a phrase alone, and the mandatory words at which a template's score is halfway from there to 1.
 PHRASE_SCORE, HALF_WORDS = 0.5, 6
@@ -79,6 +109,10 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().translate(_SPACES).split()
 
 
+#: Step on any number; no word has this sign.
+NUMBER = b"#"
+
+
 class Automaton:
     """Word automaton of one template; states are numbered, the last one accepts."""
 
@@ -88,16 +122,16 @@ class Automaton:
         self.jumps: dict[int, set[int]] = defaultdict(set)
         self.mandatory = 0
         open_at: list[int] = []
-        for part in re.findall(r"\[\[|\]\]|\{\w+:\d+\}|[^\s\[\]{}]+", wording):
+        for part in re.findall(r"\[\[|\]\]|\{\w+[:#]\d+\}|[^\s\[\]{}]+", wording):
             here = len(self.steps) - 1
             if part == "[[":
                 open_at.append(here)
             elif part == "]]":
                 self.jumps[open_at.pop()].add(here)
             elif part[0] == "{":
-                n = int(part[1:-1].split(":")[1])
+                n = int(re.split("[:#]", part[1:-1])[1])
                 for i in range(n):
-                    self._add(None)
+                    self._add(NUMBER if "#" in part else None)
                     self.jumps[here + i].add(here + n)
             else:
                 self._add(part.encode())
@@ -120,7 +154,7 @@ class Automaton:
         return frozenset(found)
 
     def first_words(self) -> set[bytes]:
-        return {w for s in self.starts for w in self.steps[s] if w is not None}
+        return {w for s in self.starts for w in self.steps[s] if w not in (None, NUMBER)}
 
     def match(self, words: list[bytes], at: int) -> int | None:
         """End of the shortest accepted run of words from `at`; None if there is none."""
@@ -133,6 +167,8 @@ class Automaton:
             after: set[int] = set()
             for s in now:
                 after |= self.steps[s].get(words[i], set()) | self.steps[s].get(None, set())
+                if words[i].isdigit():
+                    after |= self.steps[s].get(NUMBER, set())
             now = self.closed(after)
         return None
 
@@ -144,9 +180,9 @@ class Scanner:
         # A template is tried where a mandatory word of it stands; the rarest-looking one is its longest.
         self.anchors: dict[bytes, list[Automaton]] = defaultdict(list)
         for automaton in self.automata:
-            words = {w for step in automaton.steps for w in step if w is not None}
+            words = {w for step in automaton.steps for w in step if w not in (None, NUMBER)}
             jumped = {s for a, bs in automaton.jumps.items() for b in bs for s in range(a, b)}
-            needed = {w for s, step in enumerate(automaton.steps) if s not in jumped for w in step if w}
+            needed = {w for s, step in enumerate(automaton.steps) if s not in jumped for w in step if w in words}
             self.anchors[max(needed or words, key=lambda w: (len(w), w))].append(automaton)
         self.first = {p[0] for _, p in self.phrases}
         self.any = frozenset(self.anchors) | {p[-1] for _, p in self.phrases}

@@ -434,6 +434,66 @@ def test_license_query(spark, sf_dir, docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def as_pattern(wording):
+    """The template as a regular expression over words with a space behind each."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\w+[:#]\d+\}|[^\s\[\]{}]+", wording):
+        region = re.fullmatch(r"\{\w+([:#])(\d+)\}", part)
+        if region:
+            out += rf"(?:{'[0-9]+' if region[1] == '#' else '[^ ]+'} ){{0,{region[2]}}}"
+        else:
+            out += {"[[": "(?:", "]]": ")?"}.get(part) or re.escape(part) + " "
+    return re.compile("(?<![^ ])" + out)
+
+
+def test_labels_equal_those_of_patterns():
+    """Texts made from the templates, whole and with one word changed, moved or left out."""
+    rng, scanner = random.Random(8), licenses.Scanner()
+    patterns = [(label, as_pattern(wording)) for label, wording in licenses.TEMPLATES]
+    filler = "some plain words of 2 files and the license text a notice by nobody".split()
+    seen = Counter()
+    for label, wording in licenses.TEMPLATES * 12:
+        words = []
+        for part in re.findall(r"\[\[[^\]]*\]\]|\{\w+[:#]\d+\}|[^\s\[\]{}]+", wording):
+            if part[0] == "{":
+                n = int(re.split("[:#]", part[1:-1])[1])
+                words += [rng.choice("1234567890") if "#" in part else rng.choice(filler) for _ in range(rng.randint(0, n + (rng.random() < 0.1)))]
+            elif part[0] == "[":
+                words += re.sub(r"\{.*?\}", "", part[2:-2]).split() if rng.random() < 0.5 else []
+            else:
+                words.append(part)
+        kind, at = rng.randrange(4), rng.randrange(len(words))
+        if kind == 1:
+            words[at] = rng.choice(filler)
+        elif kind == 2:
+            del words[at]
+        elif kind == 3:
+            words.insert(at, rng.choice(filler))
+        words = rng.choices(filler, k=rng.randrange(6)) + words + rng.choices(filler, k=rng.randrange(6))
+        text = "".join(w + " " for w in words)
+        want = {name for name, pattern in patterns if pattern.search(text)}
+        got = {name for name, *_ in scanner.scan([w.encode() for w in words])[1]}
+        assert got == want, text
+        seen[label in got] += 1
+    assert seen[True] > 60 and seen[False] > 30
+
+
+def test_similar_licenses_are_told_apart():
+    scanner = licenses.Scanner()
+
+    def labels(text):
+        return sorted({name for name, *_ in scanner.scan(licenses.words_of(text.encode()))[1]})
+
+    fill = lambda t: re.sub(r"\{\w+:\d+\}", "the software", re.sub(r"\[\[|\]\]|\{\w+#\d+\}", " ", t))
+    assert labels(fill(f"{licenses._BSD} {licenses._BSD_END}")) == ["bsd-2"]
+    assert labels(fill(f"{licenses._BSD} {licenses._NAMES} {licenses._BSD_END}")) == ["bsd-3"]
+    assert labels(fill(licenses._BSD)) == []
+    assert labels(fill(f"{licenses._ISC} {licenses._ISC_END}")) == ["0bsd"]
+    assert labels(fill(f"{licenses._ISC} {licenses._ISC_KEEP} {licenses._ISC_END}")) == ["isc"]
+    notice = "Licensed under a Creative Commons Attribution{} 4.0 International License."
+    assert [labels(notice.format(x)) for x in ("", "-NonCommercial", "-ShareAlike", "-NoDerivs")] == [["cc-by"], ["cc-by-nc"], ["cc-by-sa"], []]
+
+
 def test_template_regions():
     a = licenses.Automaton("x", "must stand [[maybe this]] then {name:2} end")
     words = lambda t: t.encode().split()
