@@ -162,6 +162,10 @@ def walk(data: bytes) -> list[dict]:
             (n,) = struct.unpack_from(">I", data, at + 4)
             track["chunks"] = np.frombuffer(data, width, offset=at + 8, count=n).astype("i8")
     for track in tracks:
+        if not {"sizes", "chunks", "runs"} <= track.keys():  # no sample tables, as in fragmented files
+            none = np.empty(0, "i8")
+            track |= {"sizes": none, "offsets": none, "keys": none}
+            continue
         sizes, chunks, runs = track["sizes"], track["chunks"], track["runs"].astype("i8")
         firsts = np.append(runs[:, 0] - 1, len(chunks))
         in_chunk = np.repeat(runs[:, 1], np.diff(firsts))
@@ -174,6 +178,14 @@ def walk(data: bytes) -> list[dict]:
     return tracks
 
 
+def tracks_of(data: bytes) -> list[dict]:
+    """As `walk`; none if the boxes or tables are broken."""
+    try:
+        return walk(data)
+    except (ValueError, IndexError, struct.error):
+        return []
+
+
 def read_back(data: bytes, track: dict) -> bytes:
     """The bytes of a track's samples, in order."""
     return b"".join(data[o : o + s] for o, s in zip(track["offsets"].tolist(), track["sizes"].tolist()))
@@ -197,20 +209,23 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def inspect(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
     """(key, codec, seconds, n_samples, keyframes array of byte ranges) of stored containers.
 
-    A null or empty container has no track: null codec, no keyframes.
+    The first track counts. A null, empty or broken container has none: null
+    codec and seconds, no keyframes. A track without sample tables has no
+    samples, one without a time scale null seconds.
     """
 
     def work(blobs: list[bytes]) -> list[tuple]:
         rows = []
         for blob in blobs:
-            track = next(iter(walk(blob)), None)
+            track = next(iter(tracks_of(blob)), None)
             if track is None:
                 rows.append((None, None, 0, []))
                 continue
             keys = track["keys"]
             starts, sizes = track["offsets"][keys].tolist(), track["sizes"][keys].tolist()
             spans = [{"start": o, "end": o + s} for o, s in zip(starts, sizes)]
-            rows.append((track["codec"], track["duration"] / track["timescale"], len(track["sizes"]), spans))
+            seconds = track["duration"] / track["timescale"] if track["timescale"] else None
+            rows.append((track["codec"], seconds, len(track["sizes"]), spans))
         return rows
 
     schema = "codec string, seconds double, n_samples bigint, keyframes array<struct<start:bigint,end:bigint>>"

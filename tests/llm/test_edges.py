@@ -147,3 +147,19 @@ def test_toxicity_of_very_long_texts():
     words = ("bad " * 3 + "good " * 50).split() * 400
     known = toxicity.Model({"bad": 2.0}, rate=1e-4, decay=1.0)
     assert len(known.segments(words)) == 400
+
+
+def test_broken_containers(spark):
+    """Cut, scrambled or foreign bytes, and tracks without tables, give no samples instead of an error."""
+    whole = media.pack(media.padded(b"abc" * 900))
+    rng = random.Random(6)
+    rows = [(0, whole), (1, None), (2, b""), (3, b"\0\0\0\x10nonsense"), (4, media._box(b"moov", media._box(b"trak")))]
+    rows += [(10 + i, whole[: rng.randrange(len(whole))]) for i in range(20)]
+    for i in range(40):
+        broken = bytearray(whole[:700])
+        broken[rng.randrange(700)] = rng.randrange(256)
+        rows.append((100 + i, bytes(broken)))
+    got = {r.doc_id: r for r in media.inspect(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert len(got) == len(rows) and got[0].n_samples == 5 and got[0].codec == "raw"
+    assert got[4].n_samples == 0 and got[4].codec == "" and got[4].seconds is None
+    assert all(got[i].codec is None and got[i].keyframes == [] for i in (1, 2, 3))
