@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
 from ..functions.oracle import bm25_sql
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .graph import _E, components, supply_edges, undirected
 from .ledger import _S, sessions
 from .ranking import _UNIT, DENSE_FLOOR, dense_scores
 from .retrieval import bm25_scores, top_k
-
-#: Rows that the order-dependent clustering takes, as one group.
-MOST_LEADER_ROWS = 5_000
+from .similarity import jaccard_pairs, set_classes
 
 
 def expand_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +44,7 @@ def contradiction_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def three_way_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three thirds of the documents as base, ours and theirs of one name each: who changed what."""
-    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("name"), F.pmod("doc_id", F.lit(3)).alias("side"), F.col("lang").alias("h"))
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("name"), F.pmod("doc_id", F.lit(3)).alias("side"), F.md5(T.text_of("text")).alias("h"))
     pick = lambda s: F.max(F.when(F.col("side") == s, F.col("h")))
     j = d.groupBy("name").agg(pick(0).alias("base"), pick(1).alias("ours"), pick(2).alias("theirs"))
     ours, theirs = ~F.col("base").eqNullSafe(F.col("ours")), ~F.col("base").eqNullSafe(F.col("theirs"))
@@ -58,11 +56,17 @@ def three_way_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutual_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors that are in each other's three nearest among the query vectors."""
-    q = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
-    near = top_k(dense_scores(q, q, -1.0), 3, "query_id", "vec_id").select("query_id", "vec_id")
-    back = near.toDF("vec_id", "query_id").select("query_id", "vec_id")
-    return near.join(back, ["query_id", "vec_id"]).where("query_id < vec_id").select(F.col("query_id").alias("x"), F.col("vec_id").alias("y"))
+    """Query vectors and those of their three nearest among all vectors that have them among their own three nearest.
+
+    The neighbours found, three for each query vector, are the second query set.
+    """
+    v = table(spark, sf_dir, "embeddings")
+    nearest = lambda q: top_k(dense_scores(v, q, -1.0), 3, "query_id", "vec_id").select("query_id", "vec_id")
+    near = stored(nearest(v.where("vec_id % 20 = 0")))
+    found = stored(v.join(near.select("vec_id").distinct(), "vec_id", "left_semi"))
+    back = nearest(found).toDF("vec_id", "query_id").select("query_id", "vec_id")
+    both = near.join(back, ["query_id", "vec_id"])
+    return both.select(F.least("query_id", "vec_id").alias("x"), F.greatest("query_id", "vec_id").alias("y")).distinct()
 
 
 def cofire_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +98,10 @@ def session_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage of users in two halves of the ledger, merged: first and last use, the greater count; nulls skipped."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    """Usage of users in two halves of the ledger, of small values and all others, merged: first and last use, the greater count; nulls skipped."""
+    e = table(spark, sf_dir, "events").withColumn("small", F.coalesce(F.col("value") < 50, F.lit(False)))
     agg = lambda df, x: df.groupBy("user_id").agg(F.min("event_id").alias(f"f{x}"), F.max("event_id").alias(f"l{x}"), F.count(F.lit(1)).alias(f"n{x}"))
-    a, b = agg(e.where("value < 20"), "a"), agg(e.where("value >= 60"), "b")
+    a, b = agg(e.where("small"), "a"), agg(e.where("NOT small"), "b")
     return a.join(b, "user_id", "full_outer").select(
         "user_id", F.least("fa", "fb").alias("first_id"), F.greatest("la", "lb").alias("last_id"), F.greatest("na", "nb").alias("n")
     )
@@ -131,32 +135,47 @@ def inventory_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.coalesce(kind, F.lit("untyped")).alias("type")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def leaders(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, seed): in order of the items each joins the most similar earlier seed, else founds one; ties take the first seed.
+
+    `pairs` has (a, b, jaccard) with a < b, of all pairs similar enough. An item is
+    a seed once all its earlier neighbours are known not to be, and none as soon
+    as one of them is; every round settles the first unsettled item of each
+    neighbourhood.
+    """
+    open_ = stored(items.select("item"))
+    seeds, pairs = None, stored(pairs)
+    links = pairs
+    while not open_.isEmpty():
+        # Items without an unsettled earlier neighbour: earlier ones that aren't seeds are gone from the links.
+        behind = links.select(F.col("b").alias("item")).distinct()
+        fresh = stored(open_.join(behind, "item", "left_anti"))
+        seeds = fresh if seeds is None else stored(seeds.unionByName(fresh))
+        joined = links.join(fresh.withColumnRenamed("item", "a"), "a", "left_semi").select(F.col("b").alias("item")).distinct()
+        settled = stored(fresh.unionByName(joined).distinct())
+        open_ = stored(open_.join(settled, "item", "left_anti"))
+        # Links from settled items no longer hold anything up, nor do links to them.
+        links = stored(
+            links.join(settled.withColumnRenamed("item", "a"), "a", "left_anti").join(settled.withColumnRenamed("item", "b"), "b", "left_anti")
+        )
+    if seeds is None:
+        return items.select("item", F.col("item").alias("seed"))
+    to_seeds = pairs.join(seeds.withColumnRenamed("item", "a"), "a", "left_semi").join(seeds.withColumnRenamed("item", "b"), "b", "left_anti")
+    best = to_seeds.groupBy(F.col("b").alias("item")).agg(F.max_by("a", F.struct("jaccard", -F.col("a"))).alias("seed"))
+    return best.unionByName(seeds.select("item", F.col("item").alias("seed")))
+
+
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages clustered in order of arrival: each joins the most similar seed (Jaccard of tokens 0.1 or more), else founds one.
 
-    The order matters, so it is one group; more than MOST_LEADER_ROWS rows raise.
+    Passages with one and the same token set are one item, the first of them.
+    Those without tokens are like no other.
     """
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(T.text_of("text"))).alias("t"))
-    if b.count() > MOST_LEADER_ROWS:
-        raise ValueError(f"more than {MOST_LEADER_ROWS} rows to cluster in order")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple[int, set]] = []
-        out = []
-        for item, toks in pdf.sort_values("item_id")[["item_id", "t"]].itertuples(index=False):
-            words = set(toks)
-            best, at = 0.0, None
-            for seed, other in seeds:
-                j = len(words & other) / len(words | other) if words | other else 0.0
-                if j >= 0.1 and j > best:
-                    best, at = j, seed
-            if at is None:
-                at = item
-                seeds.append((item, words))
-            out.append((item, at))
-        return pd.DataFrame(out, columns=["item_id", "seed"])
-
-    return b.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(cluster, "item_id long, seed long")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(F.array_distinct(T.tokens(T.text_of("text")))).alias("set"))
+    reps, members = set_classes(b.where("size(set) > 0"), "item_id")
+    found = leaders(jaccard_pairs(reps, 0.1), reps.select(F.col("rep").alias("item")))
+    rows = members.join(found, members["rep"] == found["item"]).select("item_id", "seed")
+    return rows.unionByName(b.where("size(set) = 0").select("item_id", F.col("item_id").alias("seed")))
 
 
 def join_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,14 +214,15 @@ ORACLES = {
         (PARTITION BY l_partkey ORDER BY CAST(o_orderpriority <> '1-URGENT' AS INT), o_orderkey) AS n FROM l JOIN orders ON o_orderkey = l_orderkey)
         SELECT l_partkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY n) AS orders FROM r WHERE n <= 8 GROUP BY 1""",
     "contradiction_inbox": f"""WITH {_E} SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(src) AS "by" FROM e GROUP BY 1, 2 HAVING count(DISTINCT src) = 1""",
-    "three_way_state": """WITH j AS (SELECT doc_id // 3 AS name, max(lang) FILTER (doc_id % 3 = 0) AS base, max(lang) FILTER (doc_id % 3 = 1) AS ours,
-        max(lang) FILTER (doc_id % 3 = 2) AS theirs FROM documents GROUP BY 1)
+    "three_way_state": """WITH j AS (SELECT doc_id // 3 AS name, max(md5(text)) FILTER (doc_id % 3 = 0) AS base, max(md5(text)) FILTER (doc_id % 3 = 1) AS ours,
+        max(md5(text)) FILTER (doc_id % 3 = 2) AS theirs FROM documents GROUP BY 1)
         SELECT CASE WHEN ours IS NOT DISTINCT FROM theirs THEN CASE WHEN base IS DISTINCT FROM ours THEN 'both alike' ELSE 'unchanged' END
         WHEN base IS DISTINCT FROM ours AND base IS DISTINCT FROM theirs THEN 'conflict' WHEN base IS DISTINCT FROM ours THEN 'ours' ELSE 'theirs' END AS state,
         count(*) AS n FROM j GROUP BY 1""",
-    "mutual_merges": f"""WITH {_UNIT}, k AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r
-        FROM cosines WHERE vec_id % 20 = 0) WHERE r <= 3)
-        SELECT a.query_id AS x, a.vec_id AS y FROM k a JOIN k b ON a.query_id = b.vec_id AND a.vec_id = b.query_id WHERE a.query_id < a.vec_id""",
+    "mutual_merges": f"""WITH {_UNIT}, k AS (SELECT query_id, vec_id FROM near WHERE rank <= 3), s AS (SELECT DISTINCT vec_id FROM k),
+        c AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM unit a JOIN s ON a.vec_id = s.vec_id JOIN unit b ON a.vec_id <> b.vec_id),
+        r AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM c) WHERE r <= 3)
+        SELECT DISTINCT least(k.query_id, k.vec_id) AS x, greatest(k.query_id, k.vec_id) AS y FROM k JOIN r ON k.query_id = r.vec_id AND k.vec_id = r.query_id""",
     "cofire_clusters": f"""WITH RECURSIVE {_E}, c AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.node),
         m AS (SELECT node, min(root) AS component FROM c GROUP BY 1)
         SELECT component, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM m GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8""",
@@ -212,8 +232,8 @@ ORACLES = {
     "session_decisions": f"""WITH {_S}, f AS (SELECT user_id, item, min(event_id) AS i FROM s GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM f)
         SELECT user_id, string_agg(item, ',' ORDER BY n) AS items FROM r WHERE n <= 20 GROUP BY 1""",
-    "usage_merge": """WITH a AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l, count(*) AS n FROM events WHERE event_type = 'error' AND value < 20 GROUP BY 1),
-        b AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l, count(*) AS n FROM events WHERE event_type = 'error' AND value >= 60 GROUP BY 1)
+    "usage_merge": """WITH a AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l, count(*) AS n FROM events WHERE value < 50 GROUP BY 1),
+        b AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l, count(*) AS n FROM events WHERE coalesce(value >= 50, true) GROUP BY 1)
         SELECT coalesce(a.user_id, b.user_id) AS user_id, least(a.f, b.f) AS first_id, greatest(a.l, b.l) AS last_id, greatest(a.n, b.n) AS n FROM a FULL JOIN b ON a.user_id = b.user_id""",
     "abstention_receipt": f"""WITH {_UNIT}, m AS (SELECT query_id, arg_max(vec_id, {{'s': round(score, 9), 'v': -vec_id}}) AS vec_id, max(round(score, 9)) AS s FROM cosines GROUP BY 1)
         SELECT query_id, vec_id, round(0.5::DOUBLE - s, 6) AS gap FROM m WHERE s < 0.5""",

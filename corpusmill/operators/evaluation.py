@@ -46,13 +46,22 @@ def sign_test_p(n_pos: int, n_neg: int) -> float:
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is relevant to a passage if it holds the passage's first 40 characters; passages go in bounded blocks."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("head"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = None
-    for block in query_blocks(q, "item_id"):
-        part = d.join(F.broadcast(block), F.contains("text", "head")).select("item_id", "doc_id", "lang")
-        found = part if found is None else found.unionByName(part)
+    """A document is relevant to a passage if it holds the whole of it.
+
+    Such a document has all tokens of the passage but its first and last, which
+    may be parts of longer ones there; the longest of them is looked up, and the
+    passage then compared. Passages without such a token are compared with all
+    documents, in blocks.
+    """
+    inner = T.tokens(F.regexp_replace(T.text_of("text"), r"^[\p{L}\p{N}_]+|[\p{L}\p{N}_]+$", " "))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t), t.alias("token"))))["token"]
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), longest.alias("token")).where("text <> ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    near = d.select("doc_id", F.explode(F.array_distinct(T.tokens(T.text_of("text")))).alias("token")).join(q.select("item_id", "token"), "token")
+    both = near.select("item_id", "doc_id").join(d, "doc_id").join(q.select("item_id", "passage"), "item_id")
+    found = both.where(F.contains("text", "passage")).select("item_id", "doc_id", "lang")
+    for block in query_blocks(q.where("token IS NULL").select("item_id", "passage"), "item_id"):
+        found = found.unionByName(d.join(F.broadcast(block), F.contains("text", "passage")).select("item_id", "doc_id", "lang"))
     return found
 
 
@@ -103,9 +112,9 @@ def eval_null_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_miss_autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant documents outside the top ten, with the score they miss it by."""
+    """Relevant documents that aren't the first of the ranking, with the score they miss that place by."""
     s = bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    run = top_k(s, K)
+    run = top_k(s, 1)
     floor = run.groupBy("item_id").agg(F.min("score").alias("floor"))
     missed = _qrels(spark, sf_dir).join(run.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     j = missed.join(s, ["item_id", "doc_id"], "left").join(floor, "item_id")
@@ -156,7 +165,7 @@ QUERIES = {
 _CTE = f"""{bm25_sql()},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored),
     run AS (SELECT * FROM ranked WHERE rank <= 10),
-    qrels AS (SELECT item_id, doc_id, lang FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 40))),
+    qrels AS (SELECT item_id, doc_id, lang FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
     hits AS (SELECT q.item_id, min(rank) AS best, min(lang) AS category FROM qrels q LEFT JOIN run USING (item_id, doc_id) GROUP BY 1)"""
 _RM = "count(*) AS n_queries, round(avg(CASE WHEN best IS NULL THEN 0 ELSE 1 END), 6) AS recall, round(avg(CASE WHEN best IS NULL THEN 0 ELSE 1 / best END), 6) AS mrr"
 
@@ -173,9 +182,9 @@ ORACLES = {
         x AS (SELECT q.item_id, CAST(min(r.rank) AS INTEGER) AS bm25, CAST(min(g.rank) AS INTEGER) AS grep FROM qrels q LEFT JOIN run r USING (item_id, doc_id)
           LEFT JOIN (SELECT * FROM g WHERE rank <= 10) g USING (item_id, doc_id) GROUP BY 1)
         SELECT item_id, bm25, grep, CAST(sign(1 / coalesce(bm25, 1000) - 1 / coalesce(grep, 1000)) AS INTEGER) AS better FROM x""",
-    "eval_miss_autopsy": f"""WITH {_CTE}, f AS (SELECT item_id, min(score) AS floor FROM run GROUP BY 1)
+    "eval_miss_autopsy": f"""WITH {_CTE}, f AS (SELECT item_id, score AS floor FROM run WHERE rank = 1)
         SELECT q.item_id, q.doc_id, round(floor - coalesce(s.score, 0), 6) AS margin FROM qrels q LEFT JOIN ranked s USING (item_id, doc_id) JOIN f USING (item_id)
-        WHERE coalesce(rank, 11) > 10""",
+        WHERE coalesce(rank, 11) > 1""",
     "eval_token_reduction": f"""WITH {_CTE}, d AS (SELECT doc_id, round_even(length(text) / 4, 0) AS tokens FROM documents),
         p AS (SELECT item_id, sum(tokens) AS t FROM run JOIN d USING (doc_id) GROUP BY 1), a AS (SELECT round(avg(t), 4) AS injected FROM p), c AS (SELECT sum(tokens) AS f FROM d)
         SELECT f AS "full", injected, round(f - injected, 4) AS saved FROM a, c""",

@@ -8,6 +8,9 @@ from ..functions import text as T
 from ..sources.scratch import stored
 from ..sources.tables import table
 
+#: Orders in which two parts must follow each other to be linked.
+TOGETHER = 2
+
 
 def resolve_aliases(claims: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets joined with what their alias names: (…, node or null, n_claimants).
@@ -70,11 +73,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed edges between parts: each order's parts in line order, from one to the next, of big lines."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    """Directed edges between parts that follow each other, in line order, in TOGETHER orders or more."""
+    l = table(spark, sf_dir, "lineitem")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    pairs = l.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return pairs.where("dst IS NOT NULL AND src <> dst").distinct()
+    pairs = l.select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    pairs = pairs.where("dst IS NOT NULL AND src <> dst").distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.where(F.col("n") >= TOGETHER).select("src", "dst")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +99,8 @@ def graph_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _parts(spark, sf_dir).where("node % 50 = 0")
-    return reach(supply_edges(spark, sf_dir), seeds, 3)
+    """Every node's reach of up to three edges, with the least number of them."""
+    return reach(supply_edges(spark, sf_dir), _parts(spark, sf_dir), 3)
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +114,8 @@ def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected distance up to 4 between seed nodes and each other."""
-    e = undirected(supply_edges(spark, sf_dir))
-    seeds = _parts(spark, sf_dir).where("node % 100 = 0")
-    found = reach(e, seeds, 4)
-    return found.join(seeds, "node").select("seed", "node", "depth")
+    """Undirected distance up to 4 between all nodes."""
+    return reach(undirected(supply_edges(spark, sf_dir)), _parts(spark, sf_dir), 4)
 
 
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +166,7 @@ def edge_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier pairs' strength at each threshold from .30 to .95: shared parts over the smaller side's."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select("l_suppkey", "l_partkey").distinct()
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     n = l.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     a = l.join(n, "l_suppkey").select("l_partkey", F.col("l_suppkey").alias("a"), F.col("n").alias("na"))
     b = l.join(n, "l_suppkey").select("l_partkey", F.col("l_suppkey").alias("b"), F.col("n").alias("nb"))
@@ -183,8 +184,8 @@ QUERIES = {
     )
 }
 
-_E = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
-    FROM lineitem WHERE l_quantity >= 45) WHERE dst IS NOT NULL AND src <> dst),
+_E = f"""e AS (SELECT src, dst FROM (SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
+    FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) >= {TOGETHER}),
     u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
 _COMP = f"""{_E},
     c AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.node),
@@ -202,14 +203,14 @@ ORACLES = {
         LEFT JOIN (SELECT src AS k, count(*) AS n FROM u GROUP BY 1) b ON b.k = p_partkey""",
     "graph_orphans": f"""WITH {_E} SELECT p_partkey AS node, p_partkey NOT IN (SELECT dst FROM e) AS isolate FROM part
         WHERE p_partkey NOT IN (SELECT src FROM e)""",
-    "graph_traverse": f"""WITH RECURSIVE {_E}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 0
+    "graph_traverse": f"""WITH RECURSIVE {_E}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part
         UNION SELECT seed, e.dst, depth + 1 FROM r JOIN e ON e.src = node WHERE depth < 3)
         SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node <> seed GROUP BY 1, 2""",
     "graph_components": f"WITH RECURSIVE {_COMP} SELECT node, component FROM comp",
     "component_sizes": f"WITH RECURSIVE {_COMP} SELECT component, count(*) AS size FROM comp GROUP BY 1",
-    "graph_distance": f"""WITH RECURSIVE {_E}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 100 = 0
+    "graph_distance": f"""WITH RECURSIVE {_E}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part
         UNION SELECT seed, u.dst, depth + 1 FROM r JOIN u ON u.src = node WHERE depth < 4)
-        SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node <> seed AND node % 100 = 0 GROUP BY 1, 2""",
+        SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node <> seed GROUP BY 1, 2""",
     "alias_resolution": f"""WITH c AS (SELECT {_slug('p_name')} AS alias, p_partkey AS node, 0 AS tier FROM part UNION ALL
         SELECT {_slug("split_part(p_name, ' ', -1)")}, p_partkey, 1 FROM part),
         b AS (SELECT *, min(tier) OVER (PARTITION BY alias) AS best FROM c WHERE alias <> '')
@@ -221,7 +222,7 @@ ORACLES = {
         WHERE src IS NOT NULL""",
     "chain_tips": """SELECT doc_id, tip FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS tip FROM documents) WHERE doc_id < tip""",
     "edge_export": f"WITH {_E} SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS targets FROM e GROUP BY 1",
-    "threshold_sweep": """WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 40), n AS (SELECT l_suppkey, count(*) AS n FROM l GROUP BY 1),
+    "threshold_sweep": """WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT l_suppkey, count(*) AS n FROM l GROUP BY 1),
         p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
         s AS (SELECT shared / least(x.n, y.n) AS s FROM p JOIN n x ON x.l_suppkey = a JOIN n y ON y.l_suppkey = b)
         SELECT theta * 5 AS theta, count(*) FILTER (s * 100 >= theta * 5) AS n FROM s, range(6, 20) AS t(theta) GROUP BY 1""",

@@ -64,25 +64,31 @@ def co_recall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def values_at(rows: DataFrame, group: str, value: str, places: dict) -> DataFrame:
+    """Per group the number of rows and the values at given places (from 0) of their order.
+
+    `places` maps names to functions of the number of rows. Equal values are
+    counted first, so what is ordered are the different values alone.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    placed = counts.select(
+        group, value, F.sum("c").over(W.partitionBy(group).orderBy(value)).alias("upto"), F.sum("c").over(W.partitionBy(group)).alias("n")
+    )
+    found = [F.min(F.when(F.col("upto") > place(F.col("n")), F.col(value))).alias(name) for name, place in places.items()]
+    return placed.groupBy(group, "n").agg(*found)
+
+
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank 95th percentile of value by type."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(
-        F.count("value").alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95")
-    )
+    return values_at(e, "event_type", "value", {"p95": lambda n: F.ceil(n * 0.95) - 1}).select("event_type", "n", "p95")
 
 
 def latency_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 95th percentile by place in the order: place n/2 and place round(0.95 (n - 1)), from 0."""
-    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    order = W.partitionBy("event_type").orderBy("value", "event_id")
-    placed = e.select(
-        "event_type", "value", (F.row_number().over(order) - 1).alias("at"), F.count(F.lit(1)).over(W.partitionBy("event_type")).alias("n")
-    )
-    return placed.groupBy("event_type").agg(
-        F.max(F.when(F.col("at") == F.floor(F.col("n") / 2), F.col("value"))).alias("p50"),
-        F.max(F.when(F.col("at") == F.round(0.95 * (F.col("n") - 1)), F.col("value"))).alias("p95"),
-    )
+    e = table(spark, sf_dir, "events")
+    places = {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.round(0.95 * (n - 1))}
+    return values_at(e, "event_type", "value", places).select("event_type", "p50", "p95")
 
 
 def channel_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +128,8 @@ def injection_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per reason the rows, and the upper-middle of their margins."""
-    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    order = W.partitionBy("event_type").orderBy("value", "event_id")
-    placed = e.select(
-        "event_type", "value", (F.row_number().over(order) - 1).alias("at"), F.count(F.lit(1)).over(W.partitionBy("event_type")).alias("n")
-    )
-    return placed.where(F.col("at") == F.floor(F.col("n") / 2)).select(
-        F.col("event_type").alias("reason"), "n", F.col("value").alias("median_margin")
-    )
+    found = values_at(table(spark, sf_dir, "events"), "event_type", "value", {"median_margin": lambda n: F.floor(n / 2)})
+    return found.select(F.col("event_type").alias("reason"), "n", "median_margin")
 
 
 def reason_quota(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
 from ..functions.oracle import bm25_sql, tokens_sql
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .ranking import dense_scores
 from .retrieval import bm25_scores, top_k
@@ -21,7 +22,8 @@ def token_sets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def set_classes(sets: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Rows with one and the same set as a class: (rep, set) and (key, rep)."""
-    reps = sets.groupBy("set").agg(F.min(key).alias("rep"))
+    # A table, so that Spark can split a set with very many copies in the join.
+    reps = stored(sets.groupBy("set").agg(F.min(key).alias("rep")))
     return reps, sets.join(reps, "set").select(key, "rep")
 
 
@@ -34,7 +36,7 @@ def jaccard_pairs(reps: DataFrame, threshold: float = JACCARD) -> DataFrame:
     """
     reps = reps.select("set", "rep")
     exploded = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
-    df = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     ranked = exploded.join(df, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
     length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
     prefix = ranked.select("rep", "n", F.explode(F.slice("by_rarity", F.lit(1), length)).alias("t")).select("rep", "n", F.col("t.token").alias("token"))

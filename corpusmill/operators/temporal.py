@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions import text as T
 from ..sources.tables import table
 
 #: The moment that ages are taken at.
@@ -140,7 +141,7 @@ def interval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of even and odd sources as two snapshots by first line: added, changed, removed, same."""
-    d = table(spark, sf_dir, "documents").select(F.md5(F.substring("text", 1, 40)).alias("name"), F.md5("text").alias("h"), "source", "doc_id")
+    d = table(spark, sf_dir, "documents").select(F.md5(F.substring_index(T.text_of("text"), "\n", 1)).alias("name"), F.md5("text").alias("h"), "source", "doc_id")
     old = d.where("source <= 'src12'").groupBy("name").agg(F.min("h").alias("old"))
     new = d.where("source > 'src12'").groupBy("name").agg(F.min("h").alias("new"))
     op = (
@@ -184,7 +185,7 @@ ORACLES = {
         SELECT o_orderkey, o_custkey, changed FROM r JOIN drift ON o_orderkey = "order" WHERE n <= 5 AND o_orderstatus <> 'F'""",
     "interval_decisions": """SELECT a.event_id, count(*) AS n_near FROM events a JOIN events b ON a.event_type = 'purchase' AND b.event_type = 'error'
         AND a.user_id <> b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000 GROUP BY 1""",
-    "snapshot_delta": """WITH d AS (SELECT md5(left(text, 40)) AS name, md5(text) AS h, source FROM documents),
+    "snapshot_delta": """WITH d AS (SELECT md5(split_part(text, chr(10), 1)) AS name, md5(text) AS h, source FROM documents),
         o AS (SELECT name, min(h) AS old FROM d WHERE source <= 'src12' GROUP BY 1), n AS (SELECT name, min(h) AS new FROM d WHERE source > 'src12' GROUP BY 1)
         SELECT CASE WHEN old IS NULL THEN 'ADD' WHEN new IS NULL THEN 'DELETE' WHEN old <> new THEN 'UPDATE' ELSE 'SAME' END AS op, count(*) AS n
         FROM o FULL JOIN n USING (name) GROUP BY 1""",

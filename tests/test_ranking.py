@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import evaluation, graph, ranking, similarity, temporal
+from corpusmill.operators import composite, evaluation, graph, ranking, similarity, temporal
 
 
 def test_knee_against_a_loop(spark):
@@ -72,3 +72,23 @@ def test_expiry_states(spark):
     df = spark.createDataFrame([("2024-01-20",), ("2023-01-01",), ("2024-03-01",), (None,)], "d string")
     state = temporal.expiry_state(F.to_date("d"), F.to_date(F.lit("2024-02-01")))
     assert [r[0] for r in df.select(state).collect()] == ["recent", "old", None, None]
+
+
+def test_leaders_against_a_loop(spark):
+    random.seed(8)
+    for n in (0, 1, 30, 60):
+        pairs = {(a, b): round(random.random(), 2) for a in range(n) for b in range(a + 1, n) if random.random() < 0.12}
+        want = {}
+        for b in range(n):
+            near = [(pairs[a, b], -a) for a in range(b) if (a, b) in pairs and want[a] == a]
+            want[b] = -max(near)[1] if near else b
+        df = spark.createDataFrame([(a, b, j) for (a, b), j in pairs.items()], "a long, b long, jaccard double")
+        items = spark.createDataFrame([(i,) for i in range(n)], "item long")
+        assert {r["item"]: r.seed for r in composite.leaders(df, items).collect()} == want
+
+
+def test_judgements_are_whole_passages(spark, tmp_path):
+    texts = ["xx Some passage of text, here yy", "some passage of text, here", "Some passage of text, there", "ab", "zabz"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "me passage of text, here"), (2, "ab"), (3, ""), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.item_id, r.doc_id) for r in evaluation._qrels(spark, str(tmp_path)).collect()} == {(1, 0), (1, 1), (2, 3), (2, 4)}
