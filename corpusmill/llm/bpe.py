@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import per_text, table
 
 #: Entries kept in a worker's caches; a full cache is emptied, results stay the same.
-MAX_STATES = 300_000
-MAX_PIECES = 200_000
-MAX_PAIRS = 300_000
+MAX_STATES = 120_000
+MAX_PIECES = 100_000
+MAX_PAIRS = 150_000
 #: Bits of a token in a boundary, and where a move has its next state, in eights for the byte that follows.
 TOKEN_BITS, TOKEN_MASK, STATE_MASK = 24, (1 << 24) - 1, 0xFFFFFF00
 #: Bytes after which tokens leave at the next final boundary; shorter pieces leave at their end.

@@ -171,12 +171,11 @@ def find(df: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"], x["kind"], x["end"]))
     assigned = F.filter(spans(body, ASSIGN, 0, 2), lambda x: F.length(x["value"]) >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(bare(assigned), bare(spans(body, ACCESS, 1)), bare(spans(body, HEX, 2))))
-    blank = body
+    out = df.withColumn("secret_base", base).withColumn("secret_all", body)
     for kind, pattern in BASE:
-        blank = replaced(blank, pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.repeat(F.lit(" "), F.length(hit)))
-    out = df.withColumn("secret_base", base)
-    # Few texts have a base match; the others are judged as they are.
-    out = out.withColumn("secret_all", F.when(F.size("secret_base") > 0, blank).otherwise(body))
+        blank = replaced(F.col("secret_all"), pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.repeat(F.lit(" "), F.length(hit)))
+        # Few texts have a base match; the others are judged as they are.
+        out = out.withColumn("secret_all", F.when(F.size("secret_base") > 0, blank).otherwise(F.col("secret_all")))
     runs = F.filter(spans(F.col("secret_all"), RUN, 3), lambda x: log_ratio(x["value"], weights) >= LEAST)
     return out.withColumn("secret_all", F.array_sort(F.concat(F.col("secret_base"), bare(runs))))
 
@@ -199,11 +198,11 @@ def redact(df: DataFrame, weights: list[float], mark: str = "[SECRET]", text: st
     Where matches overlap, the rest of the later one is masked if it is a match
     or a secret by itself. A null text stays null.
     """
+    # Step by step, as an expression in an expression would be worked out again for each use.
     body = F.col(f"`{text}`")
     for kind, pattern in BASE:
-        body = replaced(body, pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.lit(mark))
-    body = replaced(body, RUN, lambda hit: log_ratio(hit, weights) >= LEAST, lambda hit: F.lit(mark))
-    return df.withColumn(text, body)
+        df = df.withColumn(text, replaced(body, pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.lit(mark)))
+    return df.withColumn(text, replaced(body, RUN, lambda hit: log_ratio(hit, weights) >= LEAST, lambda hit: F.lit(mark)))
 
 
 def scan(df: DataFrame, weights: list[float], text: str = "text", key: str = "doc_id") -> DataFrame:
