@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from ..sources.tables import table
 
 #: The moment that ages are taken at.
 NOW = "1998-12-01 00:00:00"
+#: Days for which a lapsed row is recent, and over which the recency prior falls to nothing.
+EXPIRY_DAYS, RECENCY_DAYS = 30, 180
 
 
 def stale(rows: DataFrame, changes: DataFrame, key: str, item: str) -> DataFrame:
@@ -66,7 +69,7 @@ def drift_citation_rot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volatile_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose lines all are returned or open: suppressed; others active."""
+    """Orders whose lines all were returned or accepted: suppressed; others active."""
     l = table(spark, sf_dir, "lineitem")
     g = l.groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag").isin("R", "A")).alias("suppressed"), F.count(F.lit(1)).alias("n"))
     return g.select("l_orderkey", "suppressed", "n")
@@ -74,24 +77,26 @@ def volatile_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expiry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    state = expiry_state(F.col("o_orderdate"), _now(), 400)
+    state = expiry_state(F.col("o_orderdate"), _now(), EXPIRY_DAYS)
     return o.groupBy("o_orderpriority", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def recency_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.round(recency_boost(F.col("o_orderdate"), _now(), days=1800), 6).alias("boost")).where("boost > 0")
+    return o.select("o_orderkey", F.round(recency_boost(F.col("o_orderdate"), _now(), days=RECENCY_DAYS), 6).alias("boost")).where("boost > 0")
 
 
 def salience_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(1 + recency)(1 + usage)(1 - staleness) of each order."""
+    """(1 + recency)(1 + usage)(1 - staleness) of each order; usage is its lines over the most that any has."""
     o = table(spark, sf_dir, "orders")
     n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count_if(F.col("l_returnflag") == "R").alias("changed"), F.count(F.lit(1)).alias("n")
     )
-    r = recency_boost(F.col("o_orderdate"), _now(), days=1800)
-    u = 0.10 * F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 7)
-    return o.join(n, "o_orderkey", "left").select(
+    n = stored(n)
+    most = n.agg(F.max("n").alias("most"))
+    r = recency_boost(F.col("o_orderdate"), _now(), days=RECENCY_DAYS)
+    u = 0.10 * F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("most"))
+    return o.join(n, "o_orderkey", "left").crossJoin(F.broadcast(most)).select(
         "o_orderkey", F.round((1 + r) * (1 + u) * (1 - staleness_penalty(F.col("changed"))), 9).alias("factor")
     )
 
@@ -130,7 +135,7 @@ def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per purchase the errors of the same day's other users within 60 seconds: a range join on time buckets."""
+    """Per purchase the errors of other users within 60 seconds: a range join on time buckets."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     width = 60_000_000
     a = e.where("event_type = 'purchase'").select("event_id", "user_id", "at", F.explode(F.sequence(F.floor(F.col("at") / width) - 1, F.floor(F.col("at") / width) + 1)).alias("bucket"))
@@ -160,7 +165,7 @@ QUERIES = {
 
 _T = f"TIMESTAMP '{NOW}'"
 _AGE = f"date_diff('day', o_orderdate, {_T})"
-_BOOST = f"greatest(0.0::DOUBLE, 0.1::DOUBLE * (1 - greatest({_AGE}, 0) / 1800))"
+_BOOST = f"greatest(0.0::DOUBLE, 0.1::DOUBLE * (1 - greatest({_AGE}, 0) / {RECENCY_DAYS}))"
 _DRIFT = """c AS (SELECT DISTINCT l_orderkey AS "order", l_partkey AS item, o_orderdate AS baseline FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
     m AS (SELECT l_partkey AS item, max(l_shipdate) AS changed_at FROM lineitem GROUP BY 1),
     drift AS (SELECT "order", count(DISTINCT item) AS changed, CAST(max(changed_at) AS DATE) AS recency FROM c JOIN m USING (item) WHERE changed_at > baseline GROUP BY 1)"""
@@ -170,11 +175,11 @@ ORACLES = {
     "drift_citation_rot": """SELECT l_orderkey AS "order", count(DISTINCT l_partkey) AS n_lost FROM lineitem JOIN orders ON o_orderkey = l_orderkey
         WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_retailprice >= 1200) GROUP BY 1""",
     "volatile_split": "SELECT l_orderkey, bool_and(l_returnflag IN ('R', 'A')) AS suppressed, count(*) AS n FROM lineitem GROUP BY 1",
-    "expiry_states": f"""SELECT o_orderpriority, CASE WHEN o_orderdate <= {_T} THEN CASE WHEN {_AGE} < 400 THEN 'recent' ELSE 'old' END END AS state,
+    "expiry_states": f"""SELECT o_orderpriority, CASE WHEN o_orderdate <= {_T} THEN CASE WHEN {_AGE} < {EXPIRY_DAYS} THEN 'recent' ELSE 'old' END END AS state,
         count(*) AS n FROM orders GROUP BY 1, 2""",
     "recency_priors": f"SELECT o_orderkey, round({_BOOST}, 6) AS boost FROM orders WHERE round({_BOOST}, 6) > 0",
     "salience_fold": f"""WITH n AS (SELECT l_orderkey AS o_orderkey, count(*) FILTER (l_returnflag = 'R') AS changed, count(*) AS n FROM lineitem GROUP BY 1)
-        SELECT o_orderkey, round((1 + {_BOOST}) * (1 + 0.1::DOUBLE * least(1.0::DOUBLE, coalesce(n, 0) / 7)) * (1 - 0.15::DOUBLE * least(1.0::DOUBLE, coalesce(changed, 1) / 5)), 9) AS factor
+        SELECT o_orderkey, round((1 + {_BOOST}) * (1 + 0.1::DOUBLE * least(1.0::DOUBLE, coalesce(n, 0) / (SELECT max(n) FROM n))) * (1 - 0.15::DOUBLE * least(1.0::DOUBLE, coalesce(changed, 1) / 5)), 9) AS factor
         FROM orders LEFT JOIN n USING (o_orderkey)""",
     "staleness_half_life": f"SELECT o_orderstatus, round(median(CAST({_AGE} AS DOUBLE)), 1) AS half_life FROM orders GROUP BY 1",
     "recent_rows": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders
