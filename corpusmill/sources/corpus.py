@@ -88,12 +88,44 @@ OUTCOME = S.StructType(
 )
 
 
-def read_ledger(spark: SparkSession, path: str, schema: S.StructType = RECALL_EVENT) -> DataFrame:
-    """Rows of a JSON-lines ledger; lines that aren't objects of the schema are left out, absent keys are null."""
-    lines = spark.read.text(path).where(F.rlike("value", F.lit(r"^\s*\{")))
-    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
-    ok = F.try_parse_json("value").isNotNull()
-    return parsed.where(ok).select("r.*")
+#: Fields of the further ledgers, all optional.
+LEDGERS = {
+    "episode": "ts double, session_id string, query_preview string, recalled_names array<string>, head_commit string",
+    "decision": "ts double, session_id string, text string",
+    "reconsolidation": "ts double, name string, outcome string, invalidated boolean, invalid_after string, superseded_by string, "
+    "succession_replay map<string,string>",
+    "regret": "ts double, query string, stem string",
+    "injection_cost": "ts double, session_id string, producers map<string,bigint>, total bigint, cap bigint",
+    "threat": "ts double, session_id string, source string, name string, kinds array<string>",
+    "eval_run": "ts double, head string, fixture_fingerprint string, corpus_fingerprint string, metrics map<string,double>",
+    "usage": "names array<string>, sessions map<string,bigint>",
+}
+#: Characters of a query, and of a decision, that a ledger keeps.
+PREVIEW_CHARS, DECISION_CHARS = 80, 500
+
+
+def parse_ledger(lines: DataFrame, schema: S.StructType | str = RECALL_EVENT, line: str = "value") -> DataFrame:
+    """Rows of JSON lines; lines that aren't objects of the schema are left out, absent keys are null."""
+    objects = lines.where(F.rlike(line, F.lit(r"^\s*\{")) & F.try_parse_json(line).isNotNull())
+    parsed = F.from_json(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return objects.select(parsed.alias("r")).select("r.*")
+
+
+def read_ledger(spark: SparkSession, path: str, schema: S.StructType | str = RECALL_EVENT) -> DataFrame:
+    """Rows of a JSON-lines ledger, as `parse_ledger` takes them."""
+    return parse_ledger(spark.read.text(path), schema)
+
+
+def ledger_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object a row; fields without a value are left out."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def committed_usage(rows: DataFrame) -> DataFrame:
+    """(name, sessions) over all committed usage files: their names together, their session counts summed."""
+    names = rows.select(F.explode("names").alias("name"), F.lit(0).cast("bigint").alias("sessions"))
+    counts = rows.select(F.explode("sessions").alias("name", "sessions"))
+    return names.unionByName(counts).groupBy("name").agg(F.sum("sessions").alias("sessions"))
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
