@@ -526,6 +526,23 @@ def replay_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def graduation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with three errors or more, and their first five purchases in order."""
+    s = sessions(spark, sf_dir)
+    stale = s.where("event_type = 'error'").groupBy("item").agg(F.count(F.lit(1)).alias("errors")).where("errors >= 3")
+    order = W.partitionBy("item").orderBy("ts", "event_id")
+    first = s.where("event_type = 'purchase'").withColumn("n", F.row_number().over(order)).where("n <= 5")
+    kept = first.groupBy("item").agg(joined_list(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id"))), lambda x: x["event_id"])).alias("events"))
+    return stale.join(kept, "item", "left").select("item", "errors", F.coalesce("events", F.lit("")).alias("events"))
+
+
+def edge_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by the flags of the lines that they start from; an edge counts once for each."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("origin")).distinct()
+    e = supply_edges(spark, sf_dir)
+    return e.join(l, "src").groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_sources"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -535,6 +552,7 @@ QUERIES = {
         young_items, authority_gap, blind_spots, baseline_health, watermarks, latest_metric, baseline_diff, draft_sweep, seed_salience, coverage,
         snapshot_sets, typed_inbound, decision_closure, dispute_states, edge_rot, hub_flags, protection_map, blast_radius, cross_twins,
         shadowed_names, recent_queries, threat_totals, verification_summary, trust_scorecard, promote_candidates, replay_coverage,
+        graduation_history, edge_origins,
     )
 }
 
@@ -657,4 +675,8 @@ ORACLES = {
         (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1 AND max(toxic) = 0)""",
     "replay_coverage": f"""WITH {_E}, {_S}, v AS (SELECT CAST(item AS BIGINT) AS src, arg_max(event_type, {{'t': ts, 'e': event_id}}) AS verdict FROM s GROUP BY 1)
         SELECT CASE WHEN verdict IS NULL THEN 'never run' WHEN verdict = 'error' THEN 'failing' ELSE 'passing' END AS state, count(*) AS n FROM e LEFT JOIN v USING (src) GROUP BY 1""",
+    "graduation_history": f"""WITH {_S}, e AS (SELECT item, count(*) AS errors FROM s WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3),
+        p AS (SELECT item, event_id, row_number() OVER (PARTITION BY item ORDER BY ts, event_id) AS n FROM s WHERE event_type = 'purchase'),
+        k AS (SELECT item, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY n) AS events FROM p WHERE n <= 5 GROUP BY 1) SELECT item, errors, coalesce(events, '') AS events FROM e LEFT JOIN k USING (item)""",
+    "edge_origins": f"""WITH {_E}, l AS (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem) SELECT l_returnflag AS origin, count(*) AS n, count(DISTINCT src) AS n_sources FROM e JOIN l ON l_partkey = src GROUP BY 1""",
 }
