@@ -18,7 +18,6 @@ no words adds nothing; equal rows count as often as they stand there.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +65,9 @@ class Trie:
         counts = counts.tolist()
         starts = [0, *cuts.tolist(), len(rest)] if len(rest) else [0]
         for at, end in zip(starts, starts[1:]):
-            self._insert(int(first[at]), islice(rest, at, end) if end - at < 64 else rest[at:end], counts[at:end])
+            self._insert(int(first[at]), rest[at:end], counts[at:end])
 
-    def _insert(self, first: int, rest, counts: list[int]) -> None:
+    def _insert(self, first: int, rest: list[int], counts: list[int]) -> None:
         root = self.roots.setdefault(first, {})
         new = 0
         if first in self.burst:
