@@ -7,8 +7,8 @@ phrases pass and no frequent one fail; counts are exact either way.
 
 In a task, phrases live in a shallow trie of word ids: a first word leads to a
 hash container of the rest; a container that grows too large bursts into one for
-each second word. When the trie is full, its largest subtrees are spilled as
-sorted runs and start anew. Runs meet by prefix (language and first two words),
+each second word. When the trie is full, subtrees are spilled whole, as sorted
+runs, and start anew; those whose phrases came back least often go first. Runs meet by prefix (language and first two words),
 where they are merged by adding up.
 
 Nulls and edge cases: a null language is `und`, a null text is empty; a row of
@@ -31,9 +31,10 @@ LEAST, MOST_WORDS, COVERED, TOP = 10, 3, 50, 2_000
 #: Bits of a filter, as a power of two.
 WORD_BITS, PAIR_BITS = 24, 27
 #: Entries of a container before it bursts, of a task's trie before it spills, and words of a task's dictionary.
-BURST, SPILL, WORDS = 4_096, 1_000_000, 1_500_000
-#: Words of a text that are numbered at once; bits of a word's number in a task, enough for WORDS.
-BLOCK, ID = 500_000, 21
+BURST, SPILL, WORDS = 4_096, 2_000_000, 1_500_000
+#: Words of a text that are numbered at once, and words that go into the trie together; bits of a word's number in a
+#: task, enough for WORDS.
+BLOCK, TOGETHER, ID = 500_000, 500_000, 21
 #: A language's ranking is first cut in so many parts.
 PARTS = 32
 #: Ends a piece (fixed value).
@@ -55,6 +56,7 @@ class Trie:
         self.roots: dict[int, dict] = {}
         self.burst: set[int] = set()
         self.sizes: dict[int, int] = {}
+        self.places: dict[int, int] = {}
         self.entries = 0
 
     def add(self, packed: np.ndarray) -> None:
@@ -85,6 +87,7 @@ class Trie:
             if self.deep and len(root) > BURST:
                 self._burst(first)
         self.sizes[first] = self.sizes.get(first, 0) + new
+        self.places[first] = self.places.get(first, 0) + sum(counts)
         self.entries += new
 
     def _burst(self, first: int) -> None:
@@ -95,8 +98,11 @@ class Trie:
         self.burst.add(first)
 
     def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Takes the largest subtrees out until at most `keep` entries are left: (packed phrases in order, counts)."""
-        for first in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
+        """Takes subtrees out until at most `keep` entries are left: (packed phrases in order, counts).
+
+        Those whose phrases came back least often go first, larger ones before smaller ones.
+        """
+        for first in sorted(self.sizes, key=lambda f: (self.places[f] / self.sizes[f], -self.sizes[f])):
             if self.entries <= keep:
                 return
             root = self.roots.pop(first)
@@ -104,6 +110,7 @@ class Trie:
                 self.burst.discard(first)
                 root = {second << ID | third: n for second, held in root.items() for third, n in held.items()}
             self.entries -= self.sizes.pop(first)
+            self.places.pop(first)
             keys = np.fromiter(root.keys(), "i8", len(root))
             order = np.argsort(keys)
             yield keys[order] | first << self.rest, np.fromiter(root.values(), "i8", len(root))[order]
@@ -184,36 +191,51 @@ def word_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-class Numbers:
-    """A task's word numbers: from 3 on for words that may be frequent, 0 for the end of a piece, 1 for nothing, 2 for others."""
+class Numbers(dict):
+    """A language's words by number in a task: 0 ends a piece, 1 is nothing."""
+
+    def __init__(self, task: "Task"):
+        super().__init__({b"\n": 0, b"": 1})
+        self.task = task
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self.task.words)
+        self.task.words.append(word)
+        return found
+
+
+class Task:
+    """Words of a task, of all languages, by number: their hashes and whether they may be frequent."""
 
     def __init__(self, common: Filter):
         self.common = common
-        self.by_lang: dict[str, dict[bytes, int]] = {}
-        self.words: list[tuple[str, bytes] | None] = [None, None, None]
-        self.hashes = np.zeros(1 << 12, "u8")
+        self.by_lang: dict[str, Numbers] = {}
+        self.words: list[bytes] = [b"\n", b""]
+        self.langs: list[tuple[int, str]] = []
+        self.hashes, self.frequent = np.zeros(2, "u8"), np.zeros(2, bool)
 
-    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
         """Numbers of the words, without those of nothing."""
         import xxhash
 
-        known = self.by_lang.setdefault(lang, {b"\n": 0, b"": 1})
-        new = [w for w in set(words) if w not in known]
-        if new:
+        known = self.by_lang.setdefault(lang, Numbers(self))
+        before = len(self.words)
+        ids = np.fromiter(map(known.__getitem__, words), "i8", len(words))
+        if new := self.words[before:]:
             seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+            self.langs.append((before, lang))
+            if len(self.words) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(len(self.words), "u8")])
+                self.frequent = np.concatenate([self.frequent, np.zeros(len(self.words), bool)])
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in new), "u8", len(new))
-            for word, passes, value in zip(new, self.common.has(hashes).tolist(), hashes):
-                known[word] = len(self.words) if passes else 2
-                if passes:
-                    if len(self.words) >= len(self.hashes):
-                        self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                    self.hashes[len(self.words)] = value
-                    self.words.append((lang, word))
-        ids = np.fromiter(map(known.__getitem__, words), "i8", len(words))
+            self.hashes[before : len(self.words)] = hashes
+            self.frequent[before : len(self.words)] = self.common.has(hashes)
         return ids[ids != 1]
 
-    def count(self) -> int:
-        return sum(map(len, self.by_lang.values()))
+    def lang_of(self, ids: np.ndarray) -> pa.Array:
+        starts = np.array([at for at, _ in self.langs])
+        names, codes = np.unique([lang for _, lang in self.langs], return_inverse=True)
+        return pa.DictionaryArray.from_arrays(pa.array(codes[np.searchsorted(starts, ids, "right") - 1]), pa.array(names.tolist(), pa.string())).cast(pa.string())
 
 
 def phrase_counts(df: DataFrame, size: int, common: Filter, pairs: Filter | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -224,56 +246,56 @@ def phrase_counts(df: DataFrame, size: int, common: Filter, pairs: Filter | None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs = shared.value
-        numbers, trie = Numbers(common), Trie(size)
+        task, trie = Task(common), Trie(size)
 
         def out(keep: int) -> Iterator[pa.RecordBatch]:
             runs = list(trie.spill(keep))
             if not runs:
                 return
-            # Rows of one batch come in the order of their first words, so that runs are read in order where they meet.
-            runs.sort(key=lambda run: numbers.words[int(run[0][0]) >> trie.rest])
+            # Runs leave in the order of their first words, so that they are read in order where they meet.
+            runs.sort(key=lambda run: task.words[int(run[0][0]) >> trie.rest])
+            words = pa.array(task.words, pa.binary()).cast(pa.string())
             for at in range(0, len(runs), 2_000):
                 packed, n = (np.concatenate([r[c] for r in runs[at : at + 2_000]]) for c in (0, 1))
                 columns = [packed >> ID * (size - 1 - i) & ((1 << ID) - 1) for i in range(size)]
-                used = np.unique(np.concatenate(columns))
-                words = pa.array([numbers.words[i][1] for i in used.tolist()], pa.binary()).cast(pa.string())
-                langs = pa.array([numbers.words[i][0] for i in used.tolist()], pa.string())
-                places = [pa.array(np.searchsorted(used, c)) for c in columns]
-                arrays = [langs.take(places[0]), *(words.take(p) for p in places), pa.array(n, pa.int64())]
+                arrays = [task.lang_of(columns[0]), *(words.take(pa.array(c)) for c in columns), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", *names, "n"])
 
-        def take(by_lang: dict[str, list[np.ndarray]]) -> None:
-            for parts in by_lang.values():
-                ids = np.concatenate([x for part in parts for x in (part, np.zeros(1, "i8"))])
-                starts = np.flatnonzero(_runs(ids > 2, size))
-                if pairs is not None:
-                    near = np.zeros(len(ids), bool)
-                    two = np.flatnonzero(_runs(ids > 2, 2))
-                    near[two] = pairs.has(pair_hashes(numbers.hashes[ids[two]], numbers.hashes[ids[two + 1]]))
-                    starts = starts[near[starts] & near[starts + 1]]
-                packed = np.zeros(len(starts), "i8")
-                for i in range(size):
-                    packed = packed << ID | ids[starts + i]
-                trie.add(packed)
-            by_lang.clear()
-
-        by_lang: dict[str, list[np.ndarray]] = {}
+        waiting: list[np.ndarray] = []
+
+        def take() -> None:
+            if not waiting:
+                return
+            ids = np.concatenate([x for part in waiting for x in (part, np.zeros(1, "i8"))])
+            waiting.clear()
+            common_ = task.frequent[ids]
+            starts = np.flatnonzero(_runs(common_, size))
+            if pairs is not None:
+                near = np.zeros(len(ids), bool)
+                two = np.flatnonzero(_runs(common_, 2))
+                near[two] = pairs.has(pair_hashes(task.hashes[ids[two]], task.hashes[ids[two + 1]]))
+                starts = starts[near[starts] & near[starts + 1]]
+            packed = ids[starts]
+            for i in range(1, size):
+                packed = packed << ID | ids[starts + i]
+            trie.add(packed)
+
+        many = 0
         for batch in batches:
-            waiting = 0
             for of, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for block in _blocks(words_of(body), size):
-                    waiting += len(block)
-                    if waiting > WORDS:
-                        take(by_lang)
-                        waiting = len(block)
-                    if numbers.count() + len(block) > WORDS:
-                        take(by_lang)
+                    many += len(block)
+                    if len(task.words) + len(block) > WORDS:
+                        take()
                         yield from out(0)
-                        numbers, trie = Numbers(common), Trie(size)
-                    by_lang.setdefault(of, []).append(numbers.of(of, block))
-            take(by_lang)
-            if trie.entries > SPILL:
-                yield from out(SPILL // 2)
+                        task, trie, many = Task(common), Trie(size), len(block)
+                    waiting.append(task.numbers(of, block))
+                    if many > TOGETHER:
+                        take()
+                        many = 0
+                        if trie.entries > SPILL:
+                            yield from out(SPILL // 2)
+        take()
         yield from out(0)
 
     schema = f"lang string, {', '.join(f'{n} string' for n in names)}, n bigint"
