@@ -14,8 +14,6 @@ from .retrieval import bm25_scores, idf, postings, top_k
 
 #: Chunks of a document at most; tokens of a probe; ranks looked at.
 CHUNKS, PROBE_TOKENS, K = 3, 12, 10
-#: Strength from which a suggested pair may be linked.
-BAR = 0.90
 #: Shares of the score before, in hundredths, and cosines, in hundredths, that the sweeps try.
 KNEES, FLOORS = (50, 60, 70, 80, 90), (20, 30, 40, 50, 60, 70, 80)
 
@@ -60,7 +58,7 @@ def bm25_joint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _probes(spark: SparkSession, sf_dir: str, of) -> DataFrame:
+def probes(spark: SparkSession, sf_dir: str, of) -> DataFrame:
     """Queries from the stated query set of documents, those whose id 20 divides."""
     d = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
     return d.select(F.col("doc_id").alias("item_id"), F.array_join(F.slice(of(T.tokens(T.text_of("text"))), 1, PROBE_TOKENS), " ").alias("text"))
@@ -77,12 +75,12 @@ def _own_rank(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame
 
 def self_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that their own first tokens find in the top ten."""
-    return _own_rank(spark, sf_dir, stored(_probes(spark, sf_dir, lambda ts: ts)))
+    return _own_rank(spark, sf_dir, stored(probes(spark, sf_dir, lambda ts: ts)))
 
 
 def body_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that tokens of their body find, those that aren't among the first twelve, each once."""
-    return _own_rank(spark, sf_dir, stored(_probes(spark, sf_dir, lambda ts: F.array_except(ts, F.slice(ts, 1, PROBE_TOKENS)))))
+    return _own_rank(spark, sf_dir, stored(probes(spark, sf_dir, lambda ts: F.array_except(ts, F.slice(ts, 1, PROBE_TOKENS)))))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -178,41 +176,6 @@ def contradiction_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.orderBy(F.desc("shared"), "a", "b").limit(6).select("a", "b", "shared")
 
 
-def discovered(run: DataFrame, known: DataFrame, bar: float = BAR) -> DataFrame:
-    """(a, b, strength, mutual, kind) of pairs that queries by documents suggest and that aren't linked yet.
-
-    `run` has (item_id, doc_id, score). A hit's strength is its score over the
-    best of its query; a pair takes the stronger side. Pairs found from both
-    sides are bridges, others at the bar or above refinements; the rest is weak.
-    """
-    best = stored(run.groupBy("item_id").agg(F.max("score").alias("best")))
-    hits = run.where("item_id <> doc_id").join(best, "item_id")
-    sides = hits.select(
-        F.least("item_id", "doc_id").alias("a"), F.greatest("item_id", "doc_id").alias("b"), "item_id", (F.col("score") / F.col("best")).alias("strength")
-    )
-    pairs = sides.groupBy("a", "b").agg(F.round(F.max("strength"), 6).alias("strength"), (F.count_distinct("item_id") > 1).alias("mutual"))
-    fresh = pairs.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    kind = F.when(F.col("mutual") & (F.col("strength") >= bar), "bridge").when(F.col("strength") >= bar, "refines").otherwise("weak")
-    return fresh.withColumn("kind", kind)
-
-
-def edge_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that the first tokens of the query documents suggest, of their six best hits, without pairs of copies."""
-    d = table(spark, sf_dir, "documents")
-    run = stored(top_k(bm25_scores(d, stored(_probes(spark, sf_dir, lambda ts: ts))), 6))
-    found = discovered(run, spark.createDataFrame([], "a bigint, b bigint"))
-    h = d.select("doc_id", F.sha1(T.text_of("text")).alias("h"))
-    both = found.join(h.toDF("a", "ha"), "a").join(h.toDF("b", "hb"), "b")
-    return both.where("ha <> hb").select("a", "b", "strength", "mutual", "kind")
-
-
-def apply_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discovered pairs by kind, and those that may be applied: at the bar or above."""
-    return edge_discovery(spark, sf_dir).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") != "weak").alias("eligible"), F.round(F.max("strength"), 6).alias("strongest")
-    )
-
-
 def flag_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top ten off, with a tenth more for English documents, and off again: rows that differ from the first arm."""
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -239,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_body_topk, bm25_joint_stats, self_recall, body_probe, knee_sweep, floor_sweep, absence_polarity, archive_regret, draft_suppression,
-        merged_tiers, link_suggestions, reachability, contradiction_pool, edge_discovery, apply_eligibility, flag_arms, eval_gates,
+        merged_tiers, link_suggestions, reachability, contradiction_pool, flag_arms, eval_gates,
     )
 }
 
@@ -250,7 +213,7 @@ _RANKED = f"""{bm25_sql()},
 _TOKENS_OF = f"""t AS (SELECT doc_id, pos, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM ({terms_sql('doc_id', 'documents').replace('AS term', 'AS term, token')}) WHERE doc_id % 20 = 0)"""
 
 
-def _own_sql(queries: str) -> str:
+def own_sql(queries: str) -> str:
     return f"""WITH {_TOKENS_OF}, asked AS ({queries}), probes AS (SELECT d.doc_id AS item_id, coalesce(text, '') AS text FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) d LEFT JOIN asked USING (doc_id)),
         {bm25_sql().replace('benchmark', 'probes')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored),
         own AS (SELECT item_id, rank FROM ranked WHERE item_id = doc_id AND rank <= 10)
@@ -264,8 +227,8 @@ ORACLES = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY place) AS INTEGER) AS rank FROM best) SELECT item_id, parent, c % 3 AS chunk, rank FROM r WHERE rank <= 10""",
     "bm25_joint_stats": f"""WITH {_CHUNKED}, joint AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM chunked), {bm25_sql().replace('documents', 'joint')}
         SELECT term, df, round(idf, 6) AS idf FROM idfs JOIN (SELECT term, count(*) AS df FROM post GROUP BY 1) USING (term) WHERE df >= 3""",
-    "self_recall": _own_sql("SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM t WHERE n <= 12 GROUP BY 1"),
-    "body_probe": _own_sql("""SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS m FROM
+    "self_recall": own_sql("SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM t WHERE n <= 12 GROUP BY 1"),
+    "body_probe": own_sql("""SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS m FROM
         (SELECT doc_id, token, min(n) AS n FROM t WHERE (doc_id, token) NOT IN (SELECT (doc_id, token) FROM t WHERE n <= 12) GROUP BY 1, 2)) WHERE m <= 12 GROUP BY 1"""),
     "knee_sweep": f"""WITH {_RANKED}, k AS (SELECT item_id, rank, round(score, 6) AS score, lag(round(score, 6)) OVER (PARTITION BY item_id ORDER BY rank) AS before FROM ranked WHERE rank <= 20),
         s AS (SELECT k.*, knee, max(CAST(score * 100 < knee * before AS INT)) OVER (PARTITION BY item_id, knee ORDER BY rank) AS fell FROM k, (SELECT unnest([50, 60, 70, 80, 90]) AS knee))
@@ -287,17 +250,8 @@ ORACLES = {
     "contradiction_pool": """WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2)
         SELECT a, b, shared FROM p JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b WHERE x.s_nationkey <> y.s_nationkey ORDER BY shared DESC, a, b LIMIT 6""",
 }
-_FIRST = "SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM t WHERE n <= 12 GROUP BY 1"
 _BODY = ORACLES["body_probe"]
-_DISCOVERED = f"""{_own_sql(_FIRST).removeprefix('WITH ').split('own AS (SELECT')[0].rstrip().rstrip(',')},
-    run AS (SELECT * FROM ranked WHERE rank <= 6), best AS (SELECT item_id, max(score) AS best FROM run GROUP BY 1),
-    pairs AS (SELECT least(item_id, doc_id) AS a, greatest(item_id, doc_id) AS b, round(max(score / best), 6) AS strength, count(DISTINCT item_id) > 1 AS mutual
-      FROM run JOIN best USING (item_id) WHERE item_id <> doc_id GROUP BY 1, 2),
-    found AS (SELECT pairs.*, CASE WHEN mutual AND strength >= 0.9 THEN 'bridge' WHEN strength >= 0.9 THEN 'refines' ELSE 'weak' END AS kind
-      FROM pairs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.text <> y.text)"""
 ORACLES |= {
-    "edge_discovery": f"WITH {_DISCOVERED} SELECT a, b, strength, mutual, kind FROM found",
-    "apply_eligibility": f"WITH {_DISCOVERED} SELECT kind, count(*) AS n, count(*) FILTER (kind <> 'weak') AS eligible, round(max(strength), 6) AS strongest FROM found GROUP BY 1",
     "flag_arms": f"""WITH {_RANKED}, o AS (SELECT item_id, doc_id, rank FROM ranked WHERE rank <= 10),
         f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score * CASE WHEN lang = 'en' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 9) DESC, doc_id) AS rank FROM scored JOIN documents USING (doc_id))
         SELECT 'off_on' AS arms, count(*) AS n FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM f WHERE rank <= 10) UNION ALL SELECT 'off_off', 0""",
