@@ -192,17 +192,49 @@ def joined(found: Column) -> Column:
     )
 
 
+#: Stands for a character of a secret while spans that overlap are put together; no pattern matches it.
+_HIDDEN = "\ue000"
+
+
+def _overlapped(text: Column, found: Column) -> Column:
+    """The places (of the characters) that any base match or any of the found runs covers, as booleans."""
+    chars = F.split(text, "")
+    hide = lambda hit: F.repeat(F.lit(_HIDDEN), F.length(hit))
+    hidden = F.array_repeat(F.lit(False), F.size(chars))
+    for kind, pattern in BASE:
+        other = F.split(replaced(text, pattern, lambda hit, kind=kind: is_secret(hit, kind), hide), "")
+        changed = F.zip_with(chars, other, lambda a, b: a != b)
+        hidden = F.zip_with(hidden, changed, lambda a, b: a | b)
+    # Runs don't overlap each other: places are inside one where the starts so far outnumber the ends so far.
+    edges = F.concat(
+        F.transform(found, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("step"))),
+        F.transform(found, lambda x: F.struct(x["end"].alias("at"), F.lit(-1).alias("step"))),
+    )
+    steps = F.map_from_entries(F.transform(edges, lambda x: F.struct(x["at"], x["step"])))
+    moves = F.transform(hidden, lambda _, i: F.coalesce(F.element_at(steps, i), F.lit(0)))
+    inside = F.when(F.size(found) > 0, F.transform(running_sums(moves), lambda n: n > 0)).otherwise(F.transform(hidden, lambda _: F.lit(False)))
+    return F.zip_with(hidden, inside, lambda a, b: a | b)
+
+
 def redact(df: DataFrame, weights: list[float], mark: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """`df` with a mark in place of every secret of its texts, kind after kind, then of the runs that the models judge.
+    """`df` with a mark in place of every stretch of its texts that spans of `find` cover; spans that overlap or touch may share one.
 
-    Where matches overlap, the rest of the later one is masked if it is a match
-    or a secret by itself. A null text stays null.
+    No character of a span stays. A null text stays null.
     """
+    found = find(df, weights, text)
     # Step by step, as an expression in an expression would be worked out again for each use.
-    body = F.col(f"`{text}`")
     for kind, pattern in BASE:
-        df = df.withColumn(text, replaced(body, pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.lit(mark)))
-    return df.withColumn(text, replaced(body, RUN, lambda hit: log_ratio(hit, weights) >= LEAST, lambda hit: F.lit(mark)))
+        found = found.withColumn("secret_mark", replaced(F.col("secret_mark") if kind else F.col(f"`{text}`"), pattern, lambda hit, kind=kind: is_secret(hit, kind), lambda hit: F.lit(mark)))
+    found = found.withColumn("secret_mark", replaced(F.col("secret_mark"), RUN, lambda hit: log_ratio(hit, weights) >= LEAST, lambda hit: F.lit(mark)))
+    # Few texts have spans that overlap; kind after kind would leave the rest of the later one there.
+    crossed = F.exists(F.transform("secret_base", lambda x, i: F.get(F.col("secret_base"), i + 1)["start"] < x["end"]), lambda x: x)
+    runs = F.filter("secret_all", lambda x: x["kind"] == 3)
+    chars, hidden = F.split(F.col(f"`{text}`"), ""), _overlapped(F.col(f"`{text}`"), runs)
+    begins = lambda i: F.when((i > 0) & F.get(F.col("secret_hidden"), i - 1), "").otherwise(mark)
+    shown = F.array_join(F.transform(chars, lambda c, i: F.when(F.get(F.col("secret_hidden"), i), begins(i)).otherwise(c)), "")
+    found = found.withColumn("secret_hidden", F.when(crossed, hidden))
+    whole = F.when(F.col("secret_hidden").isNotNull(), shown).otherwise(F.col("secret_mark"))
+    return found.withColumn(text, whole).select(*df.columns)
 
 
 def scan(df: DataFrame, weights: list[float], text: str = "text", key: str = "doc_id") -> DataFrame:
