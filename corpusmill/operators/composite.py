@@ -70,12 +70,12 @@ def mutual_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cofire_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph with three to eight members, as sorted lists."""
+    """Members of the graph's components of three or more, and whether the component is small enough (eight) to act on."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     c = components(nodes, supply_edges(spark, sf_dir))
-    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size BETWEEN 3 AND 8")
-    members = c.join(sizes, "component").groupBy("component", "size").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    return members.select("component", "size", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
+    # A table, so that Spark can split a very large component in the join.
+    return c.join(stored(sizes), "component").select("component", "node", "size", (F.col("size") <= 8).alias("small"))
 
 
 def reward_propagation(spark: SparkSession, sf_dir: str, rounds: int = 3) -> DataFrame:
@@ -225,7 +225,7 @@ ORACLES = {
         SELECT DISTINCT least(k.query_id, k.vec_id) AS x, greatest(k.query_id, k.vec_id) AS y FROM k JOIN r ON k.query_id = r.vec_id AND k.vec_id = r.query_id""",
     "cofire_clusters": f"""WITH RECURSIVE {_E}, c AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.node),
         m AS (SELECT node, min(root) AS component FROM c GROUP BY 1)
-        SELECT component, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM m GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8""",
+        SELECT component, node, count(*) OVER (PARTITION BY component) AS size, size <= 8 AS small FROM m QUALIFY size >= 3""",
     "reward_propagation": f"""WITH RECURSIVE {_E}, r AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size >= 45
         UNION ALL SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3)
         SELECT node, count(*) AS reward FROM r WHERE depth > 0 GROUP BY 1""",

@@ -82,7 +82,8 @@ def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each page from one heading to the next; what stands before the first is dropped."""
     p = table(spark, sf_dir, "pages")
-    parts = F.slice(F.split(T.text_of("html"), "<h[1-6]", -1), F.lit(2), F.lit(100_000))
+    cut = F.split(T.text_of("html"), "<h[1-6]", -1)
+    parts = F.slice(cut, F.lit(2), F.size(cut))
     return p.select("page_id", F.size(parts).cast("bigint").alias("n_sections"), F.md5(F.array_join(parts, "|")).alias("sections_md5"))
 
 
@@ -162,16 +163,6 @@ def derived_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("n_cited > 0 AND n_all <= 3 * n_cited")
 
 
-def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest of the corpus: of the digests of a thousand documents each, in order."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.text_of("text"), 256).alias("h"))
-    line = F.struct("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "h").alias("l"))
-    part = d.groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_sort(F.collect_list(line)).alias("x"))
-    part = part.select("part", F.sha2(F.array_join(F.transform("x", lambda x: x["l"]), "\n"), 256).alias("h"))
-    whole = part.agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("x"))
-    return whole.select(F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
-
-
 # --- queries: citations and drift -------------------------------------------------------------------------------------
 
 
@@ -547,7 +538,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_text, heading_sections, cleaned_queries, identity_slugs, soft_aliases, url_hosts, grounding_ids, ungrounded_words, normalised_lines,
-        fence_levels, derived_globs, corpus_fingerprint, citation_candidates, drift_paths, committed_split, boundary_lint, neighbour_attach,
+        fence_levels, derived_globs, citation_candidates, drift_paths, committed_split, boundary_lint, neighbour_attach,
         evidence_fold, interview_queue, staleness_digest, expiry_map, nondrift_expiry, row_ages, pair_evidence, outcome_priors, cooldown_quota,
         young_items, authority_gap, blind_spots, baseline_health, watermarks, latest_metric, baseline_diff, draft_sweep, seed_salience, coverage,
         snapshot_sets, typed_inbound, decision_closure, dispute_states, edge_rot, hub_flags, protection_map, blast_radius, cross_twins,
@@ -587,8 +578,6 @@ ORACLES = {
         count(*) AS n FROM d a JOIN d b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id <> b.doc_id GROUP BY 1""",
     "derived_globs": """WITH p AS (SELECT regexp_extract(url, '^([a-z]+://[^/]+/[^/?#]*)', 1) AS folder, CAST(contains(url, '?') AS INT) AS cited FROM pages),
         g AS (SELECT folder, CAST(sum(cited) AS BIGINT) AS n_cited, count(*) AS n_all FROM p GROUP BY 1) SELECT * FROM g WHERE n_cited > 0 AND n_all <= 3 * n_cited""",
-    "corpus_fingerprint": """WITH p AS (SELECT doc_id // 1000 AS part, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1)
-        SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS fingerprint FROM p""",
     "citation_candidates": """SELECT l_orderkey AS name, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS hits FROM
         (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 50) GROUP BY 1""".replace("DISTINCT CAST", "CAST", 1),
     "drift_paths": """WITH c AS (SELECT l_partkey, max(l_shipdate) AS changed_at FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)

@@ -55,7 +55,7 @@ def bm25_joint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = body_chunks_of(d).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
     both = d.select("doc_id", "text").unionByName(chunks)
     found = idf(stored(postings(both)), both.agg(F.count(F.lit(1)).alias("n")))
-    return found.where("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def probes(spark: SparkSession, sf_dir: str, of) -> DataFrame:
@@ -225,8 +225,10 @@ ORACLES = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM scored),
         best AS (SELECT item_id, doc_id // 3 AS parent, min(place) AS place, arg_min(doc_id, place) AS c FROM placed GROUP BY 1, 2),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY place) AS INTEGER) AS rank FROM best) SELECT item_id, parent, c % 3 AS chunk, rank FROM r WHERE rank <= 10""",
-    "bm25_joint_stats": f"""WITH {_CHUNKED}, joint AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM chunked), {bm25_sql().replace('documents', 'joint')}
-        SELECT term, df, round(idf, 6) AS idf FROM idfs JOIN (SELECT term, count(*) AS df FROM post GROUP BY 1) USING (term) WHERE df >= 3""",
+    "bm25_joint_stats": f"""WITH {_CHUNKED}, joint AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM chunked),
+        t AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM ({terms_sql('doc_id', 'joint')})), df AS MATERIALIZED (SELECT term, count(*) AS df FROM t GROUP BY 1),
+        raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, (SELECT count(*) AS n FROM joint)), mean AS (SELECT avg(idf) AS m FROM raw)
+        SELECT term, df, round(CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END, 6) AS idf FROM raw, mean""",
     "self_recall": own_sql("SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM t WHERE n <= 12 GROUP BY 1"),
     "body_probe": own_sql("""SELECT doc_id, string_agg(token, ' ' ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS m FROM
         (SELECT doc_id, token, min(n) AS n FROM t WHERE (doc_id, token) NOT IN (SELECT (doc_id, token) FROM t WHERE n <= 12) GROUP BY 1, 2)) WHERE m <= 12 GROUP BY 1"""),
