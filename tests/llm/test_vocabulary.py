@@ -300,7 +300,7 @@ def test_word_scores_of_odd_rows(spark, monkeypatch, head):
     key = lambda r: tuple(str(x) for x in r[:5]) + (round(r[5], 6),)
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, brute_base(rows)))
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert len({r.score for r in got if r.n_tokens == 1}) == 1  # null, empty and blank texts are one text
+    assert len({round(r.score, 5) for r in got if r.n_tokens == 1}) == 1  # null, empty and blank texts are one text
     assert [c for c in got[0].__fields__] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
