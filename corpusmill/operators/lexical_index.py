@@ -94,11 +94,11 @@ def refresh_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     known = docs.where(F.col(key).isNotNull())
     value = F.col(hash_column) if hash_column else content_hash(text)
-    now = stored(known.groupBy(F.col(key).alias("doc_id")).agg(F.max(value).alias("hash")))
+    now = stored(known.groupBy(F.col(key).alias("doc_id")).agg(F.max(value).alias("hash"), F.count(F.lit(1)).alias("rows")))
     before = read_index(spark, path) if _latest(spark, path) is not None else None
     version = 0 if before is None else before.version + 1
     if before is None:
-        fresh, kept, stale = now, None, None
+        fresh, kept, stale = now.select("doc_id", "hash"), None, None
     else:
         old = before.docs.select("doc_id", F.col("hash").alias("was"), "len", "version")
         both = stored(now.join(old, "doc_id", "full"))
@@ -109,9 +109,9 @@ def refresh_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     few = (lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df) if before is not None else (lambda df: df)
     rows = known.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), value.alias("hash"))
     changed = rows if before is None else rows.join(few(fresh), ["doc_id", "hash"], "left_semi")
-    if before is None:
-        changed = changed.join(now, ["doc_id", "hash"], "left_semi")
-    changed = changed.groupBy("doc_id", "hash").agg(F.first("text").alias("text")) if _repeats(known, key) else changed
+    if now.agg(F.coalesce(F.sum("rows"), F.lit(0)) > F.count(F.lit(1))).first()[0]:
+        # Only where keys stand in several rows, one of those must be chosen.
+        changed = changed.join(now, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
     added = _write(postings(changed).sortWithinPartitions("term"), path, "postings", version)
     lens = added.select("doc_id", "len").distinct()
     entries = fresh.join(lens, "doc_id", "left").select("doc_id", "hash", F.coalesce("len", F.lit(0)).alias("len"), F.lit(version).alias("segment"))
@@ -127,11 +127,6 @@ def refresh_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     return read_index(spark, path)
 
 
-def _repeats(docs: DataFrame, key: str) -> bool:
-    """Whether a key stands in several rows."""
-    return not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-
-
 def compact(spark: SparkSession, path: str) -> Index:
     """A version with all postings in one table."""
     index = read_index(spark, path)
