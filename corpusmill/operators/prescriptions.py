@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from .evidence import FENCE
 from ..sources.tables import table
 
 #: Roles, adverbs, verbs that need an adverb, verbs that don't, words of a condition before a span, and words of a
@@ -30,8 +31,6 @@ BEFORE, BEHIND = 40, 60
 SPAN = rf"(?i)\bthe\s+(?:{'|'.join(ROLES)})\s+(?:(?:{'|'.join(ADVERBS)})\s+(?:{'|'.join(HABITS)})|(?:{'|'.join(WANTS)}))\b"
 _GUARD = rf"(?i)\b(?:{'|'.join(GUARDS)})\s+\S*\s*$"
 _CONTRAST = r"^\s+\S+[^\n]{0,40}?,\s*not\b"
-#: A fenced block with its fences: from a line that opens it to the next fence line, or to the end.
-_FENCE = r"(?ms)^[ \t]{0,3}```[^\n]*\n(.*?)(?:^[ \t]{0,3}```[ \t]*$|\z)"
 _RATIONALE = r"(?mi)^\s*Rationale:\s*\S"
 
 
@@ -52,7 +51,7 @@ def prescriptive_spans(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Texts without a span have no row, null texts none either. Places are those
     in the prose, in which every fenced block is one line break.
     """
-    prose = F.regexp_replace(T.text_of(text), _FENCE, "\n")
+    prose = F.regexp_replace(T.text_of(text), FENCE, "\n")
     cut = docs.select(F.col(key).alias("key"), prose.alias("prose")).where(F.rlike("prose", F.lit(SPAN)))
     found = cut.select("key", "prose", F.regexp_extract_all("prose", F.lit(SPAN), F.lit(0)).alias("hits"), F.split("prose", SPAN, -1).alias("gaps"))
     pairs = F.arrays_zip(F.col("hits").alias("span"), _places(F.col("hits"), F.col("gaps")).alias("start"))
@@ -74,7 +73,7 @@ def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Rows that share a key are one text after the other.
     """
     body = T.text_of(text)
-    fenced = F.lower(F.array_join(F.regexp_extract_all(body, F.lit(_FENCE), F.lit(1)), "\n"))
+    fenced = F.lower(F.array_join(F.regexp_extract_all(body, F.lit(FENCE), F.lit(3)), "\n"))
     rows = docs.select(F.col(key).alias("key"), F.rlike(body, F.lit(_RATIONALE)).alias("reason"), fenced.alias("fenced"))
     evidence = rows.groupBy("key").agg(F.max("reason").alias("reason"), F.array_join(F.array_sort(F.collect_set("fenced")), "\n").alias("fenced"))
     spans = prescriptive_spans(docs, key, text).select(F.col(key).alias("key"), "start", "sentence")

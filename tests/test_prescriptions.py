@@ -5,7 +5,7 @@ import re
 
 from corpusmill.operators import prescriptions as P
 
-FENCE = re.compile(r"^[ \t]{0,3}```[^\n]*\n(.*?)(?:^[ \t]{0,3}```[ \t]*$|\Z)", re.M | re.S)
+FENCE = re.compile(r"^(```+|~~~+)[^\n]*\n(.*?)^\1[^\n]*$", re.M | re.S)
 
 
 def loop_spans(text):
@@ -21,7 +21,7 @@ def loop_spans(text):
 
 
 def loop_class(text):
-    spans, fenced = loop_spans(text), "\n".join(FENCE.findall(text or "")).lower()
+    spans, fenced = loop_spans(text), "\n".join(m[2] for m in FENCE.finditer(text or "")).lower()
     reason = re.search(P._RATIONALE, text or "") is not None
     words = lambda s: {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9_-]{2,}", s)} - set(P.SCAFFOLD)
     bad = [s for s in spans if not reason and not any(w in fenced for w in words(s[2]))]
