@@ -92,3 +92,30 @@ def test_judgements_are_whole_passages(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "me passage of text, here"), (2, "ab"), (3, ""), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {(r.item_id, r.doc_id) for r in evaluation._qrels(spark, str(tmp_path)).collect()} == {(1, 0), (1, 1), (2, 3), (2, 4)}
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    random.seed(11)
+    monkeypatch.setattr(ranking, "BLOCK", 40)
+    rows = [(i, [random.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)], i % 3) for i in range(150)]
+    rows += [(150 + i, [1.0, 2.0, 0.0, 0.5], 1) for i in range(60)]  # copies: ties go to the lower id
+    rows += [(300, [0.0] * 4, 2), (301, [1.0, 0.0], 1), (302, [0.0, 3.0], None), (303, None, 1), (304, [1.0, None, 0.0, 0.0], 1), (None, [1.0] * 4, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    q = df.where("vec_id % 5 = 0 OR vec_id > 299")
+    unit = {}
+    for i, e, label in rows:
+        if i is not None and e is not None and None not in e:
+            norm = sum(x * x for x in e) ** 0.5
+            unit[i] = [x / (norm or 1.0) for x in e], label
+    pairs = {}
+    for a in [i for i in unit if i % 5 == 0 or i > 299]:
+        near = [(round(sum(x * y for x, y in zip(unit[a][0], v)), 9), i, label) for i, (v, label) in unit.items() if i != a and len(v) == len(unit[a][0])]
+        if near:
+            pairs[a] = sorted(near, key=lambda x: (-x[0], x[1]))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ranking.nearest(df, q, 7).collect()}
+    assert got == {(a, n): i for a, near in pairs.items() for n, (_, i, _) in enumerate(near[:7], 1)}
+    counts = {(r.query_id, r.floor): r.n for r in ranking.floor_counts(df, q, [0.0, 0.5, 1.0]).collect()}
+    assert counts == {(a, f): sum(s >= f for s, _, _ in near) for a, near in pairs.items() for f in (0.0, 0.5, 1.0)}
+    best = {r.query_id: (r.on_topic, r.off_topic) for r in ranking.best_by_label(df, q).collect()}
+    of = lambda a, same: max((s for s, _, l in pairs[a] if l is not None and unit[a][1] is not None and (l == unit[a][1]) == same), default=None)
+    assert best == {a: (of(a, True), of(a, False)) for a in pairs}
