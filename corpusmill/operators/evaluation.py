@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..functions.oracle import bm25_sql, tokens_sql
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .ranking import query_blocks
-from .retrieval import bm25_scores, doc_tokens, top_k
+from .retrieval import bm25_top, doc_tokens, top_k
 
 K = 10
 
@@ -66,7 +67,7 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), K).select("item_id", "doc_id", "rank")
+    return bm25_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), K).select("item_id", "doc_id", "rank")
 
 
 def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ def eval_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of queries that no document reaches a score of 60 for, and how many."""
-    s = bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("round(score, 6) >= 60").select("item_id").distinct()
+    s = bm25_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 1).where("round(score, 6) >= 60").select("item_id").distinct()
     q = table(spark, sf_dir, "benchmark").select("item_id")
     none = q.join(s.withColumn("hit", F.lit(1)), "item_id", "left")
     n = F.count_if(F.col("hit").isNull())
@@ -113,10 +114,11 @@ def eval_null_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_miss_autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant documents that aren't the first of the ranking, with the score they miss that place by."""
-    s = bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    run = top_k(s, 1)
+    d, q, qrels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stored(_qrels(spark, sf_dir))
+    run = stored(bm25_top(d, q, 1))
+    s = bm25_top(d, q, None, among=qrels).select("item_id", "doc_id", "score")
     floor = run.groupBy("item_id").agg(F.min("score").alias("floor"))
-    missed = _qrels(spark, sf_dir).join(run.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    missed = qrels.join(run.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     j = missed.join(s, ["item_id", "doc_id"], "left").join(floor, "item_id")
     return j.select("item_id", "doc_id", F.round(F.col("floor") - F.coalesce("score", F.lit(0.0)), 6).alias("margin"))
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions.oracle import bm25_sql
 from ..sources.scratch import stored
 from ..sources.tables import table
-from .retrieval import bm25_scores, top_k
+from .retrieval import bm25_top
 
 #: Queries replayed for an old name, the latest ones; ranks looked at.
 QUERIES_EACH, K = 10, 10
@@ -70,11 +70,11 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     several = stored(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     following = F.lead("doc_id").over(W.partitionBy("name").orderBy("doc_id"))
     chains = stored(named.join(several, "name").select(F.col("doc_id").alias("old"), following.alias("successor")).where("successor IS NOT NULL"))
-    scores = stored(bm25_scores(d, table(spark, sf_dir, "benchmark")))
-    before = top_k(scores, K).select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"))
+    q = table(spark, sf_dir, "benchmark")
+    before = bm25_top(d, q, K).select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"))
     old = chains.select(F.col("old").alias("doc_id"), F.lit(0.5).alias("weight"))
-    now = scores.join(old, "doc_id", "left").withColumn("score", F.col("score") * F.coalesce("weight", F.lit(1.0)))
-    ranking = top_k(now, K).select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"), "rank")
+    now = bm25_top(d.join(old, "doc_id", "left"), q, K, factor=F.coalesce("weight", F.lit(1.0)))
+    ranking = now.select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"), "rank")
     return replayed(harvested(before, chains), stored(ranking))
 
 

@@ -119,3 +119,30 @@ def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
     best = {r.query_id: (r.on_topic, r.off_topic) for r in ranking.best_by_label(df, q).collect()}
     of = lambda a, same: max((s for s, _, l in pairs[a] if l is not None and unit[a][1] is not None and (l == unit[a][1]) == same), default=None)
     assert best == {a: (of(a, True), of(a, False)) for a in pairs}
+
+
+def test_lexical_best_equal_all_scores(spark, monkeypatch):
+    from pyspark.sql import Window as W
+
+    from corpusmill.operators import retrieval
+
+    random.seed(3)
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 5)
+    words = [f"w{i}x" for i in range(30)]
+    text = lambda: " ".join(words[int(random.random() ** 2 * 30)] for _ in range(random.randint(0, 12)))
+    rows = [(i, text(), "ab"[i % 2]) for i in range(120)] + [(200 + i, "w1x w2x w3x", "a") for i in range(9)] + [(300, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    queries = spark.createDataFrame([(i, text()) for i in range(12)] + [(20, ""), (21, "w1x w2x w2x")], "item_id long, text string")
+    scored = retrieval.bm25_scores(docs, queries).join(docs.select("doc_id", "lang"), "doc_id").cache()
+    rows_of = lambda df: sorted((r.item_id, r.doc_id, round(r.score, 6), r["rank"]) for r in df.collect())
+    assert rows_of(retrieval.bm25_top(docs, queries, 4)) == rows_of(retrieval.top_k(scored, 4))
+    raised = scored.withColumn("score", F.col("score") * F.when(F.col("lang") == "a", 1.1).otherwise(1.0))
+    assert rows_of(retrieval.bm25_top(docs, queries, 4, factor=F.when(F.col("lang") == "a", 1.1).otherwise(1.0))) == rows_of(retrieval.top_k(raised, 4))
+    order = W.partitionBy("item_id", "lang").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    parts = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    assert rows_of(retrieval.bm25_top(docs, queries, 3, part=F.col("lang"))) == rows_of(parts)
+    every = retrieval.bm25_top(docs, queries, None, among=docs.where("doc_id > 60"), shared=2)
+    terms = retrieval.postings(docs).join(retrieval.postings(queries, "item_id").select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("terms"))
+    want = scored.where("doc_id > 60").join(terms.where("terms >= 2"), ["item_id", "doc_id"])
+    got = lambda df: sorted((r.item_id, r.doc_id, round(r.score, 6), r.terms) for r in df.collect())
+    assert got(every) == got(want)
