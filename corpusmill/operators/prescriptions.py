@@ -95,7 +95,8 @@ def prescription_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     role = F.element_at(F.lit(ROLES), (F.substring("source", 4, 3).cast("int") % len(ROLES) + 1).cast("int"))
     word = F.regexp_extract(T.text_of("text"), "([a-z]{4,})", 1)
-    said = F.concat(F.lit("\nThe "), role, F.lit(" always wants "), word, F.lit(" first.\n"))
+    # A sentence comes first, so that the last words of a document's own text are no condition of what is said.
+    said = F.concat(F.lit("\nIt is so. The "), role, F.lit(" always wants "), word, F.lit(" first.\n"))
     asked = F.concat(F.lit("\nAsk whether the "), role, F.lit(" wants "), word, F.lit(".\n"))
     fence = F.concat(F.lit("```\nrun "), word, F.lit("\n```\n"))
     end = F.when(F.col("lang") == "en", said).when(F.col("lang") == "de", asked).when(F.col("lang") == "fr", F.concat(said, fence)).otherwise("")

@@ -51,3 +51,10 @@ def test_spans_and_classes_against_loops(spark):
     assert classes == {i: loop_class(t) for i, t in enumerate(texts)}
     assert {c[2] for c in classes.values()} == {"observation", "grounded", "ungrounded"}
     assert P.classified(df.limit(0)).collect() == []
+
+
+def test_query_reads_no_condition_from_a_documents_own_end(spark, tmp_path):
+    rows = [(i, f"some words {end}", lang, "src1") for lang in ("en", "fr", "de", "es") for i, end in enumerate(("when done.", "if", "end"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("row_number() OVER (ORDER BY lang, doc_id) AS doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.kind): (r.n, r.spans) for r in P.prescription_classes(spark, str(tmp_path)).collect()}
+    assert got == {("en", "ungrounded"): (3, 3), ("fr", "grounded"): (3, 3), ("de", "observation"): (3, 0), ("es", "observation"): (3, 0)}
