@@ -11,7 +11,7 @@ from ..functions.oracle import bm25_sql, tokens_sql
 from ..sources.scratch import stored
 from ..sources.tables import table
 from .ranking import query_blocks
-from .retrieval import bm25_top, doc_tokens, top_k
+from .retrieval import bm25_top, doc_tokens, term_rows, top_k
 
 K = 10
 
@@ -114,7 +114,7 @@ def eval_null_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_miss_autopsy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant documents that aren't the first of the ranking, with the score they miss that place by."""
-    d, q, qrels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stored(_qrels(spark, sf_dir))
+    d, q, qrels = term_rows(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), stored(_qrels(spark, sf_dir))
     run = stored(bm25_top(d, q, 1))
     s = bm25_top(d, q, None, among=qrels).select("item_id", "doc_id", "score")
     floor = run.groupBy("item_id").agg(F.min("score").alias("floor"))

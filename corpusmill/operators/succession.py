@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions.oracle import bm25_sql
 from ..sources.scratch import stored
 from ..sources.tables import table
-from .retrieval import bm25_top
+from .retrieval import bm25_top, term_rows
 
 #: Queries replayed for an old name, the latest ones; ranks looked at.
 QUERIES_EACH, K = 10, 10
@@ -71,9 +71,10 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.lead("doc_id").over(W.partitionBy("name").orderBy("doc_id"))
     chains = stored(named.join(several, "name").select(F.col("doc_id").alias("old"), following.alias("successor")).where("successor IS NOT NULL"))
     q = table(spark, sf_dir, "benchmark")
-    before = bm25_top(d, q, K).select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"))
-    old = chains.select(F.col("old").alias("doc_id"), F.lit(0.5).alias("weight"))
-    now = bm25_top(d.join(old, "doc_id", "left"), q, K, factor=F.coalesce("weight", F.lit(1.0)))
+    old = chains.select(F.col("old").alias("doc_id"), F.lit(0.5).alias("weight")).distinct()
+    rows = term_rows(d.select("doc_id", "text").join(old, "doc_id", "left"))
+    before = bm25_top(rows, q, K).select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"))
+    now = bm25_top(rows, q, K, factor=F.coalesce("weight", F.lit(1.0)))
     ranking = now.select(F.col("item_id").cast("string").alias("query"), F.col("doc_id").alias("name"), "rank")
     return replayed(harvested(before, chains), stored(ranking))
 

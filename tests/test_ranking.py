@@ -146,3 +146,25 @@ def test_lexical_best_equal_all_scores(spark, monkeypatch):
     want = scored.where("doc_id > 60").join(terms.where("terms >= 2"), ["item_id", "doc_id"])
     got = lambda df: sorted((r.item_id, r.doc_id, round(r.score, 6), r.terms) for r in df.collect())
     assert got(every) == got(want)
+
+
+def test_lexical_best_in_small_blocks_and_from_term_rows(spark, monkeypatch):
+    from corpusmill.operators import retrieval
+
+    random.seed(5)
+    words = [f"w{i}x" for i in range(20)]
+    text = lambda: " ".join(random.choice(words) for _ in range(random.randint(0, 15)))
+    docs = spark.createDataFrame([(f"d{i:03}", text(), "ab"[i % 2]) for i in range(150)] + [("d999", None, None), (None, "w1x", "a")], "doc_id string, text string, lang string")
+    queries = spark.createDataFrame([(i, text()) for i in range(9)], "item_id long, text string")
+    raised = F.when(F.col("lang") == "a", 1.1).when(F.col("lang") == "b", 0.7)
+    rows_of = lambda df: sorted((r.item_id, r.doc_id, round(r.score, 9), r.part, r.terms, r["rank"]) for r in df.collect())
+    calls = [dict(k=4), dict(k=3, factor=raised, part=F.col("lang")), dict(k=2, shared=2), dict(k=4, factor=F.lit(-1.0))]
+    whole = [rows_of(retrieval.bm25_top(docs, queries, **call)) for call in calls]
+    monkeypatch.setattr(retrieval, "AT_ONCE", 50)
+    monkeypatch.setattr(retrieval, "LEAST_SORTED", 1)
+    ready = retrieval.term_rows(docs)
+    assert "text" not in ready[0].columns
+    assert [rows_of(retrieval.bm25_top(ready, queries, **call)) for call in calls] == whole
+    scored = retrieval.bm25_scores(docs.where("doc_id IS NOT NULL").unionByName(docs.where("doc_id IS NULL").withColumn("doc_id", F.lit("none"))), queries)
+    want = retrieval.top_k(scored.where("doc_id <> 'none'"), 4)
+    assert sorted((r.item_id, r.doc_id, r["rank"]) for r in want.collect()) == [(i, d, n) for i, d, _, _, _, n in whole[0]]
