@@ -168,3 +168,28 @@ def test_lexical_best_in_small_blocks_and_from_term_rows(spark, monkeypatch):
     scored = retrieval.bm25_scores(docs.where("doc_id IS NOT NULL").unionByName(docs.where("doc_id IS NULL").withColumn("doc_id", F.lit("none"))), queries)
     want = retrieval.top_k(scored.where("doc_id <> 'none'"), 4)
     assert sorted((r.item_id, r.doc_id, r["rank"]) for r in want.collect()) == [(i, d, n) for i, d, _, _, _, n in whole[0]]
+
+
+def test_jaccard_pairs_in_blocks_and_few_of_them_with_their_sets(spark, monkeypatch):
+    """Blocks of any size give the pairs of brute force, and sets go only where a pair is likely."""
+    random.seed(16)
+    sets = []
+    for g in range(12):
+        base = random.sample(range(40, 400), 40)
+        sets += [frozenset(base) ^ set(random.sample(range(400), random.randint(1, 6))) for _ in range(10)]
+        sets += [frozenset(random.sample(base, 25)) | set(random.sample(range(400), 15)) for _ in range(6)]
+    rows = sorted({tuple(sorted(f"t{x:03}" for x in s)) for s in sets})
+    want = {}
+    for i, s in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            common = len(set(s) & set(rows[j]))
+            if (value := round(common / (len(s) + len(rows[j]) - common), 6)) >= 0.8:
+                want[i, j] = value
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(rows)], "rep bigint, set array<string>")
+    counted, seen = similarity._counted, []
+    monkeypatch.setattr(similarity, "_counted", lambda pairs, reps: seen.append(pairs.count()) or counted(pairs, reps))
+    for frequent, block, cell, partners in ((200_000, 5_000, 1_000, 1_000), (50, 7, 4, 3), (0, 1_000, 1, 1)):
+        for name, value in (("FREQUENT", frequent), ("TOKEN_BLOCK", block), ("CELL", cell), ("PARTNERS", partners)):
+            monkeypatch.setattr(similarity, name, value)
+        assert {(r.a, r.b): r.jaccard for r in similarity.jaccard_pairs(df).collect()} == want
+    assert max(seen) <= 2 * len(want)
