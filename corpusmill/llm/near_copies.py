@@ -11,6 +11,10 @@ no link has reached yet, and a node is tried with few others at first, with more
 only while some are left. So a large group of near copies costs few pairs, and no
 pair is left out.
 
+Before these rounds nodes are linked by SimHash: those whose 64-bit fingerprints
+differ in 3 bits or fewer are tried and verified like the others. Fingerprints
+alone would lose near copies that differ in more bits; the rounds find these.
+
 Shingles are compared by their 64-bit hashes.
 """
 
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import forget, per_text, small_batches, stored
-from .simhash import components
+from .simhash import components, fingerprint, key_rows, links
 
 #: Words in a shingle; least similarity of near copies, as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -117,6 +121,17 @@ def _pairs(node: np.ndarray, size: np.ndarray, label: np.ndarray, sketch: np.nda
     return a, b, more
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that SimHash links; `prints` has node and fp. One node stands for all of its fingerprint."""
+    low = stored(prints.groupBy("fp").agg(F.min("node").alias("low")))
+    same = prints.join(low, "fp").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = links(key_rows(low)).join(low.toDF("a", "na"), "a").join(low.toDF("b", "nb"), "b")
+    both = same.union(near.select("na", "nb")).where("a <> b")
+    found = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(low)
+    return found
+
+
 def _candidates(shared: DataFrame, nodes: DataFrame, tries: int) -> DataFrame:
     """(key, a, b): pairs to be verified; a key with more of them has a row without a pair."""
     blocks = F.ceil(F.col("n_nodes") / BLOCK).cast("int")
@@ -208,12 +223,13 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
     def work(texts: list[bytes]) -> list[tuple]:
         sets = [shingle_set(t) for t in texts]
-        return [(node_of(s), len(s), sketch_of(s), wide_of(s), prefix_of(s, common).view("i8").tolist()) for s in sets]
+        fps = np.array([fingerprint(t) for t in texts], "u8").view("i8").tolist()
+        return [(node_of(s), len(s), fp, sketch_of(s), wide_of(s), prefix_of(s, common).view("i8").tolist()) for s, fp in zip(sets, fps)]
 
-    schema = "node bigint, size bigint, sketch binary, wide binary, prefix array<bigint>"
+    schema = "node bigint, size bigint, fp bigint, sketch binary, wide binary, prefix array<bigint>"
     whole = stored(per_text(df, work, schema, key, text))
     prints = stored(whole.select(key, "node"))
-    one = F.first(F.struct("size", "sketch", "wide", "prefix"))
+    one = F.first(F.struct("size", "fp", "sketch", "wide", "prefix"))
     every = stored(whole.groupBy("node").agg(F.min(key).alias("first"), one.alias("x")).select("node", "first", "x.*"))
     forget(whole)
     firsts, nodes = every.select("node", "first"), every.select("node", "size", "sketch")
@@ -230,9 +246,16 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
     # Near copies mostly have the same first shingle, so a first round by that alone links most of a large group; only then
     # do all shingles of the prefixes count.
-    shared, first_round = in_common(keys.where("at = 0")), True
-    labels = stored(firsts.select("node", F.col("node").alias("label")))
-    edges, tries = None, TRIES
+    shared, first_round, tries = in_common(keys.where("at = 0")), True, TRIES
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        roots = components(edges).withColumnRenamed("root", "label")
+        return stored(firsts.join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+
+    tried = _by_fingerprint(every.select("node", "fp"))
+    edges = _verified(tried, df, every, text, key)
+    forget(tried)
+    labels = labelled(edges)
     while True:
         # A key whose nodes are all linked already has no pair left.
         ends = shared.join(labels, "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -241,14 +264,9 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         forget(live)
         pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct())
         new = _verified(pairs, df, every, text, key)
-        if edges is not None:
-            both = stored(edges.union(new).distinct())
-            forget(edges, new)
-            new = both
-        edges = new
-        roots = components(edges).withColumnRenamed("root", "label")
-        forget(labels)
-        labels = stored(firsts.join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        both = stored(edges.union(new).distinct())
+        forget(edges, new, labels)
+        edges, labels = both, labelled(both)
         if first_round:
             forget(found, pairs, shared)
             shared, first_round = in_common(keys), False

@@ -90,3 +90,27 @@ def test_sketch_and_prefix_lose_no_pair():
             sketches = [np.frombuffer(near_copies.sketch_of(x), "u8") for x in (a, b)]
             assert 9 * np.bitwise_count(sketches[0] ^ sketches[1]).sum() <= len(a) + len(b)
             assert near_copies.may_be_near(len(a), near_copies.wide_of(a), len(b), near_copies.wide_of(b))
+
+
+def test_simhash_links_come_first_and_the_rounds_find_the_rest(spark, monkeypatch):
+    """Texts within 3 bits are tried as such; near copies further apart are found all the same."""
+    rng = random.Random(9)
+    rows, found, tried = {}, near_copies._by_fingerprint, []
+    for g in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows |= {100 * g + i: " ".join(base[: len(base) - i]) for i in range(3)}
+        rows |= {100 * g + 10 + i: " ".join(edited(rng, base, 8)) for i in range(3)}
+
+    def watched(prints):
+        pairs = found(prints)
+        tried.extend((r.a, r.b) for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(near_copies, "_by_fingerprint", watched)
+    want = brute_groups(rows)
+    assert groups_of(spark, rows) == want
+    fps = {i: near_copies.fingerprint(t.encode()) for i, t in rows.items()}
+    node = {i: near_copies.node_of(near_copies.shingle_set(t.encode())) for i, t in rows.items()}
+    close = {tuple(sorted((node[i], node[j]))) for i in rows for j in rows if i < j and (fps[i] ^ fps[j]).bit_count() <= 3}
+    apart = [1 for i in rows for j in rows if i < j and want[i] == want[j] and (fps[i] ^ fps[j]).bit_count() > 3]
+    assert close and apart and {n for pair in close for n in pair} == {n for pair in tried for n in pair}
