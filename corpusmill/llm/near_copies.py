@@ -11,8 +11,8 @@ no link has reached yet, and a node is tried with few others at first, with more
 only while some are left. So a large group of near copies costs few pairs, and no
 pair is left out.
 
-Before these rounds nodes are linked by SimHash: those whose 64-bit fingerprints
-differ in 3 bits or fewer are tried and verified like the others. Fingerprints
+Nodes are linked by SimHash too: those whose 64-bit fingerprints differ in 3 bits
+or fewer are tried and verified with the pairs of the first round. Fingerprints
 alone would lose near copies that differ in more bits; the rounds find these.
 
 Shingles are compared by their 64-bit hashes.
@@ -252,25 +252,27 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         roots = components(edges).withColumnRenamed("root", "label")
         return stored(firsts.join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
-    tried = _by_fingerprint(every.select("node", "fp"))
-    edges = _verified(tried, df, every, text, key)
-    forget(tried)
-    labels = labelled(edges)
+    # SimHash's links and the first round's pairs are verified together: a verification of its own for the links costs
+    # tens of Spark stages, and an executor's memory grows with every one.
+    linked = _by_fingerprint(every.select("node", "fp"))
+    edges, labels = None, firsts.select("node", F.col("node").alias("label"))
     while True:
-        # A key whose nodes are all linked already has no pair left.
+        # A key whose nodes are all linked already has no pair left; in the first round none are linked.
         ends = shared.join(labels, "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        live = stored(ends.where("low < high").select("key"))
-        found = stored(_candidates(shared.join(live, "key", "left_semi"), nodes.join(labels, "node"), tries))
-        forget(live)
-        pairs = stored(found.where("a IS NOT NULL").select("a", "b").distinct())
+        live = None if first_round else stored(ends.where("low < high").select("key"))
+        left = shared if first_round else shared.join(live, "key", "left_semi")
+        found = stored(_candidates(left, nodes.join(labels, "node"), tries))
+        pairs = found.where("a IS NOT NULL").select("a", "b")
+        pairs = stored((pairs.union(linked) if first_round else pairs).distinct())
         new = _verified(pairs, df, every, text, key)
-        both = stored(edges.union(new).distinct())
-        forget(edges, new, labels)
-        edges, labels = both, labelled(both)
         if first_round:
-            forget(found, pairs, shared)
+            edges, labels = new, labelled(new)
+            forget(found, pairs, shared, linked)
             shared, first_round = in_common(keys), False
             continue
+        both = stored(edges.union(new).distinct())
+        forget(live, edges, new, labels)
+        edges, labels = both, labelled(both)
         more = stored(found.where("a IS NULL").select("key").distinct())
         forget(found, pairs)
         if more.isEmpty():

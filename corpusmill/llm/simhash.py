@@ -83,13 +83,13 @@ def segment_keys() -> np.ndarray:
     The first is the codeword within distance 3; the others, for words at
     distance 3, are those at distance 4.
     """
-    values, code = np.arange(1 << 16), golay_codewords()
+    values, code = np.arange(1 << 16, dtype="u4"), golay_codewords().astype("u4")
     keys = np.full((1 << 16, 6), -1, "i4")
-    for at in range(0, len(values), 4096):  # a slice has 4096 x 4096 distances
-        far = _weight(values[at : at + 4096, None] ^ code[None, :])
+    for at in range(0, len(values), 256):  # a slice has 256 x 4096 distances, so that a worker's memory stays small
+        far = np.bitwise_count(values[at : at + 256, None] ^ code[None, :])
         rows = np.arange(far.shape[0])
         near = far.argmin(axis=1)
-        keys[at : at + 4096, 0] = near
+        keys[at : at + 256, 0] = near
         edge = rows[far[rows, near] == 3]
         if len(edge):
             _, columns = np.nonzero(far[edge] == 4)
