@@ -28,6 +28,8 @@ from .common import per_text, table
 MAX_STATES = 120_000
 MAX_PIECES = 100_000
 MAX_PAIRS = 150_000
+#: Times as many for a query that encodes only; in the pipeline earlier stages have filled the executors' memory.
+ROOM = 3
 #: Bits of a token in a boundary, and where a move has its next state, in eights for the byte that follows.
 TOKEN_BITS, TOKEN_MASK, STATE_MASK = 24, (1 << 24) - 1, 0xFFFFFF00
 #: Bytes after which tokens leave at the next final boundary; shorter pieces leave at their end.
@@ -37,7 +39,8 @@ LONG = 256
 class Ranks:
     """Merge ranks, with the merge that last made each token."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = 1):
+        self.room = room
         with open(path, "rb") as lines:
             pairs = (line.split() for line in lines)
             self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
@@ -100,7 +103,7 @@ class Ranks:
                     limit, a = a, self.split(a)[1]
                 else:
                     limit, b = b + 1 if joint != b else b, self.split(b)[0]
-            if len(self._pair) > MAX_PAIRS:
+            if len(self._pair) > MAX_PAIRS * self.room:
                 self._pair.clear()
             self._pair[key] = known
         return known
@@ -165,7 +168,7 @@ class Transducer:
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES * self.ranks.room:
             self._reset()
         state, out, get = 0, [], self.moves.get
         path: list[int] = []  # moves since the last boundary known to be final
@@ -276,36 +279,36 @@ class Pieces(dict):
             data = piece.encode()
             whole = self.ranks.rank.get(data)
             ids = array("I", (whole,) if whole is not None else self.machine.encode(data)).tobytes()
-        if len(piece) <= 64 and len(self) < 2 * MAX_PIECES:  # one long text may hold more pieces
+        if len(piece) <= 64 and len(self) < 2 * MAX_PIECES * self.ranks.room:  # one long text may hold more pieces
             self[piece] = ids
         return ids
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, room: int = 1):
         import regex
 
-        self.ranks = Ranks(path)
+        self.ranks = Ranks(path, room)
         self.machine, self.decoder = Transducer(self.ranks), Decoder(self.ranks)
         self.findall = regex.compile(pattern).findall
         # Pieces seen lately, and those of the time before; frequent ones move from the old to the new.
         self.known = Pieces(self.ranks, self.machine, {})
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.known) >= MAX_PIECES:
+        if len(self.known) >= MAX_PIECES * self.ranks.room:
             older, self.known.older = self.known, {}
             self.known = Pieces(self.ranks, self.machine, older)
         return np.frombuffer(b"".join(map(self.known.__getitem__, self.findall(text))), np.uint32).astype("<u4", copy=False)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, room: int = 1) -> Codec:
     """The codec of this worker process, made once."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    if (path, pattern, room) not in _CODECS:
+        _CODECS[path, pattern, room] = Codec(path, pattern, room)
+    return _CODECS[path, pattern, room]
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -341,7 +344,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key:
 
 def _round_trip(df: DataFrame, path: str, pattern: str, text: str, key: str, with_ids: bool) -> DataFrame:
     def work(texts: list[bytes]) -> list[tuple]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, 1 if with_ids else ROOM)
         rows = []
         for data in texts:
             ids = own.encode(data.decode())

@@ -195,6 +195,22 @@ def test_bpe_equals_the_library(docs):
         assert "".join(codec.decoder.stream(ids.tolist())) == t
 
 
+def test_bpe_caches_of_the_query_have_room(docs, monkeypatch):
+    """With more room the machine is made anew less often, and the ids are the same however often it is."""
+    path, pattern = bpe.default_vocabulary()
+    monkeypatch.setattr(bpe, "MAX_STATES", 300)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 50)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 100)
+    texts, made, ids = list(docs.values())[:60], {}, {}
+    for room in (1, bpe.ROOM):
+        own, resets = bpe.Codec(path, pattern, room), []
+        reset = own.machine._reset
+        monkeypatch.setattr(own.machine, "_reset", lambda: (resets.append(1), reset()))
+        ids[room] = [own.encode(t).tolist() for t in texts]
+        made[room] = len(resets)
+    assert ids[1] == ids[bpe.ROOM] and 0 < made[bpe.ROOM] < made[1]
+
+
 def test_utf8_machine_equals_the_codec():
     for a in range(256):
         for b in range(0, 256, 5):
