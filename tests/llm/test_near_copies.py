@@ -1,12 +1,13 @@
 """The near-duplicate stage against a brute-force grouping by Jaccard similarity of five-word shingles."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 
 import corpus_pipeline
-from corpusmill.llm import common, near_copies
+from corpusmill.llm import common, near_copies, simhash
 
 
 def shingles(text):
@@ -114,3 +115,12 @@ def test_simhash_links_come_first_and_the_rounds_find_the_rest(spark, monkeypatc
     close = {tuple(sorted((node[i], node[j]))) for i in rows for j in rows if i < j and (fps[i] ^ fps[j]).bit_count() <= 3}
     apart = [1 for i in rows for j in rows if i < j and want[i] == want[j] and (fps[i] ^ fps[j]).bit_count() > 3]
     assert close and apart and {n for pair in close for n in pair} == {n for pair in tried for n in pair}
+
+
+def test_golay_table_takes_little_memory():
+    tracemalloc.start()
+    try:
+        assert simhash.segment_keys().shape == (1 << 16, 6)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
