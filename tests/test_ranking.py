@@ -170,6 +170,54 @@ def test_lexical_best_in_small_blocks_and_from_term_rows(spark, monkeypatch):
     assert sorted((r.item_id, r.doc_id, r["rank"]) for r in want.collect()) == [(i, d, n) for i, d, _, _, _, n in whole[0]]
 
 
+def test_lexical_best_within_bounds_equal_all_scores(spark, monkeypatch):
+    from corpusmill.operators import retrieval
+
+    random.seed(9)
+    words = [f"w{i}x" for i in range(300)]
+    text = lambda n: " ".join(words[int(random.random() ** 3 * 300)] for _ in range(n))
+    rows = [(i, text(random.choice([0, 3, 10, 40, 200]))) for i in range(400)] + [(500 + i, "w1x w2x w299x w299x w298x") for i in range(30)]
+    rows += [(i, t) for i, t in rows[:20]] + [(600, None), (None, "w1x w7x"), (601, "w5x " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [(i, text(random.choice([1, 2, 12, 30]))) for i in range(60)] + [(i, t) for i, t in rows[400:425]] + [(None, "w9x w250x"), (70, ""), (71, "nothing known"), (72, "w0x"), (73, "w1x w1x w1x w290x")]
+    queries = spark.createDataFrame(asked, "item_id long, text string")
+    ready = retrieval.term_rows(docs)
+    rows_of = lambda df: sorted(((r.item_id or 0, r["rank"], r.doc_id, round(r.score, 9), r.terms, r.part) for r in df.collect()), key=str)
+    calls = [dict(k=1), dict(k=4, among=docs.where("doc_id % 2 = 0")), dict(k=40)]
+    whole = [rows_of(retrieval.bm25_top(ready, queries, **call)) for call in calls]
+    real, used = retrieval._bounded_scorer, []
+    monkeypatch.setattr(retrieval, "_bounded_scorer", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(retrieval, "BOUNDED_FROM", 0)
+    for call, want, (seeds, at_once, terms, least) in zip(calls, whole, ((20, 200_000, 1_000_000, 1), (1, 40, 1_000_000, 30), (0, 200_000, 300, 50_000))):
+        for name, value in (("SEEDS", seeds), ("BOUNDED_AT_ONCE", at_once), ("BOUNDED_TERMS", terms), ("LEAST_SORTED", least), ("AT_ONCE", max(least, 30)), ("TOGETHER", at_once // 4)):
+            monkeypatch.setattr(retrieval, name, value)
+        assert rows_of(retrieval.bm25_top(ready, queries, **call)) == want
+    assert len(used) > 6 and len(whole[1]) > 200
+
+
+def test_rows_that_bounds_rule_out_are_not_found_by_common_terms():
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusmill.operators import retrieval
+
+    queries = 200
+    block = pa.table({"q": [i for i in range(queries) for _ in range(2)], "term": [x for i in range(queries) for x in (f"rare{i}", "common")], "w": [8.0, 0.1] * queries, "df": [2, 5_000] * queries, "top": [1.0] * 2 * queries})
+    given = retrieval._by_query(block)
+    reached = pa.table({"q": range(queries), "score": [5.0] * queries})
+    needed = retrieval._needed(given, reached, 1)
+    terms = given[1].to_pylist()
+    starts, of, _, needs = needed[3][0][2]
+    most = int(2.5 / retrieval.GRAIN)
+    found = lambda term: int(np.searchsorted(needs, terms.index(term) * retrieval.SPAN + most, "right") - starts[terms.index(term)])
+    assert found("common") == 0 and all(found(f"rare{i}") == 1 for i in range(queries))
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1.0] * 3), pa.array([""] * 3), pa.array([["common"], ["rare7", "common"], ["rare7"] * 9])], names=["key", "factor", "part", "terms"])
+    got = [r for b in retrieval._bounded_scorer(types.SimpleNamespace(value=(*needed, 4.0)), 1, 9)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["q"], r["key"], r["terms"]) for r in got] == [(7, 3, 1)]
+
+
 def test_jaccard_pairs_in_blocks_and_few_of_them_with_their_sets(spark, monkeypatch):
     """Blocks of any size give the pairs of brute force, and sets go only where a pair is likely."""
     random.seed(16)
