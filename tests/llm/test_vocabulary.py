@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import types
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmill.llm import collocations, lm_scores, registry, secrets, spelling
@@ -358,3 +360,54 @@ def test_no_character_of_a_span_survives(spark):
 def test_no_vocabulary_file_in_the_repository():
     root = Path(__file__).resolve().parents[2]
     assert not [p for p in root.rglob("*.tiktoken")]
+
+
+def test_every_piece_of_the_training_rows_is_learned_from(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "x" * 90, "été", "1234567890"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 5, 11, 12, 13, 40, 200, 700)] + [None]
+    model = random_model(3)
+    cut = lm_scores.pieces(model.path)
+    for text in texts:
+        row = model.number[cut.row(lm_scores.words_of((text or "").encode()))]
+        windows = lm_scores._all_windows(model, cut, lm_scores.words_of((text or "").encode()))
+        nexts = windows[:, 1:].ravel()
+        assert nexts[nexts >= 0].tolist() == row[1:].tolist() and windows.shape[1] == 2 * lm_scores.HALF + 1
+        given = windows[:, :-1].ravel()
+        assert given[given >= 0].tolist()[: len(row) - 1] == row[:-1].tolist()
+
+    def counted(trainer, windows):
+        # Weights that say how many pieces and windows a task was trained on.
+        trainer.model.weights["shift"][0] += np.count_nonzero(windows[:, 1:] >= 0)
+        trainer.model.weights["shift"][1] += len(windows)
+        return 0.0
+
+    monkeypatch.setattr(lm_scores.Trainer, "step", counted)
+    monkeypatch.setattr(lm_scores, "WIDE", 3)
+    model.weights["shift"] = np.zeros(lm_scores.WIDTH, "f4")
+    seen = []
+    broadcast = type("B", (), {"value": model, "unpersist": lambda self: None})()
+    frame = pa.RecordBatch.from_arrays([pa.array([(t or "").encode() for t in texts], pa.binary())], names=["text"])
+
+    class Rows:
+        """A table of one batch that is gone through here."""
+
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: broadcast)})()})()
+
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, f, schema):
+            return Rows(list(f(iter(self.batches))))
+
+        def repartition(self, *columns):
+            return self
+
+        def collect(self):
+            return [types.SimpleNamespace(**r) for b in self.batches for r in b.to_pylist()]
+
+    monkeypatch.setattr(lm_scores, "_bodies", lambda df, text: df)
+    at = sum(w.size for w in list(model.weights.values())[: list(model.weights).index("shift")])
+    reached = lm_scores._everywhere(Rows([frame]), model, "text")
+    want = sum(len(cut.row(lm_scores.words_of((t or "").encode()))) - 1 for t in texts)
+    assert reached[at] == want and want > 2_000
